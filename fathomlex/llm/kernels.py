@@ -79,7 +79,8 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES)
     n = batch.num_rows
     if not n:
         return
-    _, offsets = raw(batch.column(batch.schema.get_field_index(column)))
+    cells = batch.column(batch.schema.get_field_index(column))
+    _, offsets = raw_binary(cells) if pa.types.is_binary(cells.type) else raw(cells)
     at = 0
     while at < n:
         to = int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1
@@ -228,3 +229,12 @@ def doc_grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     ok = inside(w.doc, n)
     count = np.maximum(np.diff(w.offsets) - n + 1, 0)
     return g[ok], np.r_[0, np.cumsum(count)]
+
+
+def raw_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets (from 0) of a binary array without nulls; the bytes are a fresh, aligned copy."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    if not len(column) or offsets[-1] == offsets[0]:
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].copy(), offsets - offsets[0]

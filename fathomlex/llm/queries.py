@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, linededup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,3 +33,27 @@ run AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, p - q ORD
 SELECT doc_id, item_id, CAST(min(p) AS INTEGER) AS doc_word, CAST(min(q) AS INTEGER) AS item_word, CAST(count(*) + 7 AS INTEGER) AS n_words
 FROM run GROUP BY doc_id, item_id, p - q, r
 """
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op10_line_dedup"] = op10_line_dedup
+ORACLE["op10_line_dedup"] = rf"""
+WITH line AS (SELECT doc_id, text, i - 1 AS line, parts[i] AS s FROM (
+    SELECT doc_id, text, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL))),
+tok AS (SELECT doc_id, line, list_sort(list_distinct({_WORDS.replace("text", "s")})) AS w FROM line),
+occ AS (SELECT doc_id, line, w, (doc_id, line) AS pos FROM tok WHERE len(w) >= 3),
+sets AS (SELECT w, min(pos) AS lead, len(w) AS n, row_number() OVER () AS s FROM occ GROUP BY w),
+df AS (SELECT t, count(*) AS c FROM (SELECT unnest(w) AS t FROM sets) GROUP BY t),
+ranked AS (SELECT s, n, t, row_number() OVER (PARTITION BY s ORDER BY c, t) AS r FROM (SELECT s, n, unnest(w) AS t FROM sets) JOIN df USING (t)),
+prefix AS (SELECT s, n, t FROM ranked WHERE r <= n - (9 * n + 9) // 10 + 1),
+cand AS (SELECT DISTINCT a.s AS a, b.s AS b FROM prefix a JOIN prefix b ON a.t = b.t AND a.s <> b.s AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n),
+near AS (SELECT DISTINCT cand.a AS s FROM cand JOIN sets x ON x.s = cand.a JOIN sets y ON y.s = cand.b
+    WHERE y.lead < x.lead AND 10 * len(list_intersect(x.w, y.w)) >= 9 * (x.n + y.n - len(list_intersect(x.w, y.w)))),
+gone AS (SELECT doc_id, line FROM occ JOIN sets USING (w) WHERE pos <> lead OR s IN (SELECT s FROM near)),
+kept AS (SELECT l.doc_id, string_agg(l.s, chr(10) ORDER BY l.line) FILTER (WHERE g.line IS NULL) AS text, CAST(count(g.line) AS INTEGER) AS n_removed
+    FROM line l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line = g.line GROUP BY l.doc_id)
+SELECT doc_id, coalesce(text, '') AS text, n_removed FROM kept
+"""
