@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup
+from . import decontaminate, linededup, ngramjoin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -57,3 +57,22 @@ kept AS (SELECT l.doc_id, string_agg(l.s, chr(10) ORDER BY l.line) FILTER (WHERE
     FROM line l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line = g.line GROUP BY l.doc_id)
 SELECT doc_id, coalesce(text, '') AS text, n_removed FROM kept
 """
+
+
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.find_similar(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op1_ngram_jaccard_join"] = op1_ngram_jaccard_join
+ORACLE["op1_ngram_jaccard_join"] = rf"""
+WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS g FROM w WHERE len(w) > 0),
+sets AS (SELECT g, min(doc_id) AS lead, len(g) AS n FROM g GROUP BY g),
+df AS (SELECT t, count(*) AS c FROM (SELECT unnest(g) AS t FROM sets) GROUP BY t),
+ranked AS (SELECT lead, n, t, row_number() OVER (PARTITION BY lead ORDER BY c, t) AS r FROM (SELECT lead, n, unnest(g) AS t FROM sets) JOIN df USING (t)),
+prefix AS (SELECT lead, n, t FROM ranked WHERE r <= n - (3 * n + 4) // 5 + 1),
+cand AS (SELECT DISTINCT a.lead AS a, b.lead AS b FROM prefix a JOIN prefix b ON a.t = b.t AND a.lead < b.lead AND 5 * a.n >= 3 * b.n AND 5 * b.n >= 3 * a.n),
+j AS (SELECT a, b, len(list_intersect(x.g, y.g)) AS i, x.n + y.n AS s FROM cand JOIN sets x ON x.lead = a JOIN sets y ON y.lead = b)
+SELECT s.lead AS doc_id, g.doc_id AS other_id, CAST(1.0 AS DOUBLE) AS jaccard FROM g JOIN sets s USING (g) WHERE g.doc_id <> s.lead
+UNION ALL SELECT a, b, CAST(i AS DOUBLE) / (s - i) FROM j WHERE 5 * i >= 3 * (s - i)
+"""
