@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup, ngramjoin
+from . import decontaminate, linededup, ngramjoin, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -76,3 +76,18 @@ j AS (SELECT a, b, len(list_intersect(x.g, y.g)) AS i, x.n + y.n AS s FROM cand
 SELECT s.lead AS doc_id, g.doc_id AS other_id, CAST(1.0 AS DOUBLE) AS jaccard FROM g JOIN sets s USING (g) WHERE g.doc_id <> s.lead
 UNION ALL SELECT a, b, CAST(i AS DOUBLE) / (s - i) FROM j WHERE 5 * i >= 3 * (s - i)
 """
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.find_repeated_spans(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op7_substring_dedup"] = op7_substring_dedup
+ORACLE["op7_substring_dedup"] = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+win AS (SELECT doc_id, i - 1 AS p, array_to_string(w[i:i+49], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+f AS (SELECT g, min(doc_id) AS src FROM win GROUP BY g),
+hit AS (SELECT doc_id, p, min(src) AS src FROM win JOIN f USING (g) WHERE src < doc_id GROUP BY doc_id, p),
+run AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS r FROM hit)
+SELECT doc_id, CAST(min(p) AS INTEGER) AS start_word, CAST(count(*) + 49 AS INTEGER) AS n_words, min(src) AS first_doc FROM run GROUP BY doc_id, r
+"""
