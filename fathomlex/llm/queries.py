@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup, ngramjoin, substring
+from . import decontaminate, linededup, ngramjoin, secrets, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -91,3 +91,15 @@ hit AS (SELECT doc_id, p, min(src) AS src FROM win JOIN f USING (g) WHERE src <
 run AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS r FROM hit)
 SELECT doc_id, CAST(min(p) AS INTEGER) AS start_word, CAST(count(*) + 49 AS INTEGER) AS n_words, min(src) AS first_doc FROM run GROUP BY doc_id, r
 """
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op3_secret_scan"] = op3_secret_scan
+ORACLE["op3_secret_scan"] = (
+    "SELECT doc_id, rule, CAST(len(m) AS INTEGER) AS n_matches, array_to_string(m, ' ') AS secrets FROM ("
+    + " UNION ALL ".join("SELECT doc_id, '{}' AS rule, regexp_extract_all(text, '{}') AS m FROM documents WHERE doc_id IS NOT NULL".format(n, r.replace("'", "''")) for n, r in secrets.RULES)
+    + ") WHERE len(m) > 0"
+)
