@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup, ngramjoin, secrets, substring
+from . import decontaminate, linededup, ngramjoin, quality, secrets, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -103,3 +103,10 @@ ORACLE["op3_secret_scan"] = (
     + " UNION ALL ".join("SELECT doc_id, '{}' AS rule, regexp_extract_all(text, '{}') AS m FROM documents WHERE doc_id IS NOT NULL".format(n, r.replace("'", "''")) for n, r in secrets.RULES)
     + ") WHERE len(m) > 0"
 )
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op4_quality_classifier"] = op4_quality_classifier
