@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import ints
 
 BITS = 1 << 25
-BLOCKS = 8
+BLOCKS = 64
 _PER = BITS // BLOCKS
 
 
@@ -25,20 +26,21 @@ def of(df: DataFrame, column: str) -> np.ndarray:
     """A bitmap in which the slot of each value of a bigint column is set: 4 MB, whatever the rows."""
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = np.zeros(BITS, bool)
         for b in batches:
-            m[_slot(ints(b, column))] = True
-        if m.any():
-            yield pa.record_batch([pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array([np.packbits(x).tobytes() for x in m.reshape(BLOCKS, _PER)], pa.binary())], ["part", "blob"])
+            slot = np.unique(_slot(ints(b, column)))
+            cut = np.searchsorted(slot, np.arange(BLOCKS + 1) * _PER)
+            low = (slot % _PER).astype(np.uint32)
+            yield pa.record_batch([pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array([low[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary())], ["part", "blob"])
 
-    def either(t: pa.Table) -> pa.Table:
-        m = np.zeros(_PER // 8, np.uint8)
+    def together(t: pa.Table) -> pa.Table:
+        m = np.zeros(_PER, bool)
         for b in t.column("blob"):
-            m |= np.frombuffer(b.as_buffer(), np.uint8)
-        return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "blob": pa.array([m.tobytes()], pa.binary())})
+            m[np.frombuffer(b.as_buffer(), np.uint32)] = True
+        return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "blob": pa.array([np.packbits(m).tobytes()], pa.binary())})
 
     out = np.zeros((BLOCKS, _PER // 8), np.uint8)
-    for r in df.select(column).mapInArrow(marks, "part int, blob binary").groupBy("part").applyInArrow(either, "part int, blob binary").collect():
+    marked = df.select(column).mapInArrow(marks, "part int, blob binary").where(F.octet_length("blob") > 0)
+    for r in marked.groupBy("part").applyInArrow(together, "part int, blob binary").collect():
         out[r["part"]] = np.frombuffer(r["blob"], np.uint8)
     return out.reshape(-1)
 
