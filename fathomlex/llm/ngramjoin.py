@@ -2,8 +2,9 @@
 
 A document is the set of its word n-grams.  Documents of one set are collapsed
 first.  The global order puts n-grams of many documents last; a pair of similar
-sets then shares one of the first n-grams of both.  Sets that meet on such an
-n-gram make a block, a block's sets are stored in a trie from that n-gram on,
+sets then shares several of the first n-grams of both (l of them, if each gives
+l - 1 more than a prefix filter needs).  Pairs that do meet in a block of the
+first n-gram they share, a block's sets are stored in a trie from that n-gram on,
 and each set walks the trie.  A pair's overlap is complete in the block of its
 first common n-gram, so the largest count of a pair is its overlap.
 """
@@ -31,6 +32,11 @@ _32 = np.uint64(32)
 _HOT = np.uint64(1 << 63)
 
 
+def _several(size: np.ndarray) -> np.ndarray:
+    """n-grams that similar sets must share among their first ones, by the lesser size."""
+    return 1 + size.astype(np.int64) // 16
+
+
 def _place(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Part of a hash and 32 bits of its place in the part; both ascend with the hash."""
     x = (h >> _32) * np.uint64(parts) + ((h & _LOW) * np.uint64(parts) >> _32)
@@ -66,6 +72,17 @@ def _where(o: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return *_place(o << np.uint64(1), parts), hot
 
 
+def _summed(rows: np.ndarray) -> np.ndarray:
+    """Rows (a, b, w, several, have) with one row a pair: the least w and all of have."""
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    first = np.flatnonzero(np.r_[True, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])])
+    out = rows[first]
+    out[:, 4] = np.add.reduceat(rows[:, 4], first)
+    return out
+
+
 def similar_sets(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataFrame]:
     """(s, doc_id) of all documents that have words, and (a, b, common, na, nb) of all pairs of different sets that reach similarity t."""
     spark, parts = docs.sparkSession, n_parts(docs.sparkSession)
@@ -93,7 +110,7 @@ def similar_sets(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataF
         sets = setjoin.set_hash(tokens, offsets)
         o = _in_order(tokens, offsets, hot.value, parts)
         size = np.diff(offsets)
-        prefix = np.where(size > 0, size - setjoin.needed(size, t) + 1, 0)
+        prefix = np.where(size > 0, np.minimum(size, size - setjoin.needed(size, t) + _several(size)), 0)
         own = np.repeat(np.arange(len(size)), prefix)
         at = multi_range(offsets[:-1], prefix)
         out = np.empty(len(at), _ROW)
@@ -119,21 +136,22 @@ def similar_sets(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataF
         while a < len(r):
             z = max(a + 1, int(np.searchsorted(done, done[a] + setjoin.SLICE, "right")) - 1)
             x, y = np.repeat(i[a:z], count[a:z]), multi_range(i[a:z] + 1, count[a:z])
-            ok = np.minimum(r["most"][x], r["most"][y]) >= setjoin.overlap_needed(r["n"][x], r["n"][y], t)
-            x, y = x[ok], y[ok]
+            several = _several(np.minimum(r["n"][x], r["n"][y]))
+            ok = np.minimum(r["most"][x], r["most"][y]) > setjoin.overlap_needed(r["n"][x], r["n"][y], t) - several
+            x, y, several = x[ok], y[ok], several[ok]
             w = (r["hot"][x].astype(np.int64) << 62) | part << 32 | r["k"][x].astype(np.int64)
             p, q = r["s"][x], r["s"][y]
-            rows = np.stack([np.minimum(p, q).view(np.int64), np.maximum(p, q).view(np.int64), w], 1)
-            rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
-            if len(rows):
-                rows = rows[np.r_[True, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])]]
-            found.append(rows)
+            rows = np.stack([np.minimum(p, q).view(np.int64), np.maximum(p, q).view(np.int64), w, several, np.ones(len(x), np.int64)], 1)
+            found.append(_summed(rows))
+            if len(found) > 8:
+                found = [_summed(np.concatenate(found))]
             a = z
-        rows = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-        return pa.table([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(3)], ["a", "b", "w"])
+        rows = _summed(np.concatenate(found)) if found else np.zeros((0, 5), np.int64)
+        return pa.table([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(5)], ["a", "b", "w", "several", "have"])
 
     of_docs = written(map_chunks(docs, ids, "s long, doc_id long"), "sets")
-    pairs = map_gather(docs, keys, parts).groupBy("part").applyInArrow(meet, "a long, b long, w long").groupBy("a", "b").agg(F.min("w").alias("w"))
+    pairs = map_gather(docs, keys, parts).groupBy("part").applyInArrow(meet, "a long, b long, w long, several long, have long")
+    pairs = pairs.groupBy("a", "b", "several").agg(F.min("w").alias("w"), F.sum("have").alias("have")).where("have >= several")
     members = written(pairs.select("w", F.explode(F.array("a", "b")).alias("s")).distinct(), "blocks")
     wanted = spark.sparkContext.broadcast(bitmap.of(members, "s"))
 
