@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup, ngramjoin, quality, rules, secrets, substring, toxicity
+from . import decontaminate, linededup, ngramjoin, pieces, quality, rules, secrets, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -121,3 +121,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op5_quality_rules": op5_quality_rules, "op8_toxicity": op8_toxicity}
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op9_sentencepiece"] = op9_sentencepiece
