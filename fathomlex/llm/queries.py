@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup, ngramjoin, pieces, quality, rules, secrets, substring, toxicity
+from . import decontaminate, linededup, ngramjoin, pieces, quality, rules, secrets, substring, tokencounts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -128,3 +128,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_sentencepiece"] = op9_sentencepiece
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.maintain(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_token_counts"] = op6_token_counts
