@@ -146,3 +146,18 @@ def dedup_lines(docs: DataFrame, t: Fraction = Fraction(9, 10), least: int = 3)
     j = d.join(gone, (F.col("doc_id") == F.col("_d")) & (F.col("h") == F.col("_h")), "left")
     left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i))
     return j.select("doc_id", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
+
+
+def without_repeats(docs: DataFrame, t: Fraction = Fraction(9, 10), least: int = 3) -> DataFrame:
+    """``docs`` with all their columns and the texts of ``dedup_lines``; n_chars, if there is one, is counted again.
+
+    Rows whose text had words and has none left are dropped; all others come
+    back, also those without id or text.
+    """
+    gone = find_repeats(docs, t, least).groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list("line").alias("_gone"))
+    j = docs.join(gone, (docs["doc_id"] == F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left")
+    left = F.array_join(F.filter(F.split(docs["text"], "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+    text = F.when(F.col("_gone").isNull(), docs["text"]).otherwise(left)
+    j = j.withColumn("_text", text).where(F.col("_gone").isNull() | F.col("_text").rlike(r"[A-Za-z0-9\x{80}-\x{10FFFF}]"))
+    chars = F.length("_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    return j.select(*(F.col("_text").alias("text") if c == "text" else chars.alias(c) if c == "n_chars" else docs[c] for c in docs.columns))
