@@ -82,7 +82,7 @@ def spread(h: np.ndarray, parts: int) -> np.ndarray:
 class Gather:
     """Collects rows of many chunks, so that an exchange has few and large blobs: about ``most`` bytes are held."""
 
-    def __init__(self, parts: int, most: int = 24 << 20):
+    def __init__(self, parts: int, most: int = 12 << 20):
         self.parts, self.most, self.size, self.held = parts, most, 0, []
 
     def add(self, part: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -25,6 +25,8 @@ from .common import col, documents, ints, map_chunks, map_gather, multi_range, n
 
 #: An n-gram of this many documents goes to the end of the global order.
 COMMON = 32
+#: Pairs of one block that are looked at together.
+SLICE = 1 << 19
 _KEY = np.dtype("<u4")
 _ROW = np.dtype([("k", "<u4"), ("hot", "u1"), ("s", "<u8"), ("n", "<u4"), ("most", "<u4")])
 _LOW = np.uint64(0xFFFFFFFF)
@@ -134,7 +136,7 @@ def similar_sets(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataF
         done = np.r_[0, np.cumsum(count)]
         a = 0
         while a < len(r):
-            z = max(a + 1, int(np.searchsorted(done, done[a] + setjoin.SLICE, "right")) - 1)
+            z = max(a + 1, int(np.searchsorted(done, done[a] + SLICE, "right")) - 1)
             x, y = np.repeat(i[a:z], count[a:z]), multi_range(i[a:z] + 1, count[a:z])
             several = _several(np.minimum(r["n"][x], r["n"][y]))
             ok = np.minimum(r["most"][x], r["most"][y]) > setjoin.overlap_needed(r["n"][x], r["n"][y], t) - several
