@@ -136,4 +136,4 @@ def _joined(docs: DataFrame, benchmark: DataFrame, k: int, w: int, least: int) -
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, w: int = 4) -> DataFrame:
     """``docs`` without the documents that ``find_leaks`` names; those without id or text stay, as nothing is found in them."""
     bad = find_leaks(docs, benchmark, k, w).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("_leak"), "left_anti")
+    return docs.join(bad, docs["doc_id"] == bad["_leak"], "left_anti")

@@ -155,9 +155,9 @@ def without_repeats(docs: DataFrame, t: Fraction = Fraction(9, 10), least: int =
     back, also those without id or text.
     """
     gone = find_repeats(docs, t, least).groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list("line").alias("_gone"))
-    j = docs.join(gone, (docs["doc_id"] == F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left")
-    left = F.array_join(F.filter(F.split(docs["text"], "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    text = F.when(F.col("_gone").isNull(), docs["text"]).otherwise(left)
-    j = j.withColumn("_text", text).where(F.col("_gone").isNull() | F.col("_text").rlike(r"[A-Za-z0-9\x{80}-\x{10FFFF}]"))
-    chars = F.length("_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
-    return j.select(*(F.col("_text").alias("text") if c == "text" else chars.alias(c) if c == "n_chars" else docs[c] for c in docs.columns))
+    j = docs.join(gone, (docs["doc_id"] == gone["_d"]) & (F.xxhash64(docs["text"]) == gone["_h"]), "left")
+    left = F.array_join(F.filter(F.split(docs["text"], "\n", -1), lambda x, i: ~F.array_contains(gone["_gone"], i)), "\n")
+    text = F.when(gone["_gone"].isNull(), docs["text"]).otherwise(left)
+    j = j.where(gone["_gone"].isNull() | text.rlike(r"[A-Za-z0-9\x{80}-\x{10FFFF}]"))
+    chars = F.length(text).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    return j.select(*(text.alias("text") if c == "text" else chars.alias(c) if c == "n_chars" else docs[c] for c in docs.columns))
