@@ -104,3 +104,15 @@ def last_docs(docs: DataFrame) -> DataFrame:
     """One row a document: that of the greatest key_clock, of equal ones the greatest fields."""
     n = F.row_number().over(Window.partitionBy("index", "doc_id").orderBy(F.desc("key_clock"), F.desc(F.to_json("fields"))))
     return docs.withColumn("_n", n).where("_n = 1").drop("_n")
+
+
+def add_terms(old: DataFrame, terms: DataFrame) -> DataFrame:
+    """Postings with those of ``terms`` (all posting columns) added; of one key the greatest clock wins."""
+    return newest(old.unionByName(terms.select(*POSTINGS)))
+
+
+def without_terms(old: DataFrame, gone: DataFrame) -> DataFrame:
+    """Postings but those of the (index, field, term, doc_id, key_clock) in ``gone`` whose clock is no greater; a null clock takes all."""
+    keys = gone.groupBy("index", "field", "term", "doc_id").agg(F.max(F.coalesce("key_clock", F.lit((1 << 63) - 1))).alias("_clock"))
+    key = ["index", "field", "term", "doc_id"]
+    return old.join(keys, key, "left").where(F.col("_clock").isNull() | (F.col("key_clock") > F.col("_clock"))).select(*POSTINGS)

@@ -204,3 +204,26 @@ def test_saved_postings(spark, tmp_path, hundred):
     e = Engine(spark.read.parquet(str(tmp_path / "p")), hundred.schemas)
     assert e.count("test", "color:red AND acc:AFA") == 7
     assert "PartitionFilters: [" in e.match("test", "color:red")._jdf.queryExecution().toString()
+
+
+def test_terms_are_added_and_taken(spark):
+    kind = "index string, field string, term string, doc_id string, positions array<int>, inline map<string,array<string>>, key_clock bigint"
+    p = spark.createDataFrame([("i", "f", "t", "1", [0], None, 5), ("i", "f", "t", "2", [0], None, 5)], kind)
+    more = spark.createDataFrame([("i", "f", "t", "1", [7], None, 6), ("i", "f", "u", "1", [1], None, 6), ("i", "f", "t", "2", [9], None, 4)], kind)
+    p = ix.add_terms(p, more)
+    assert sorted((r["term"], r["doc_id"], r["positions"]) for r in p.collect()) == [("t", "1", [7]), ("t", "2", [0]), ("u", "1", [1])]
+    gone = spark.createDataFrame([("i", "f", "t", "1", 5), ("i", "f", "u", "1", None), ("i", "f", "t", "2", 5)], "index string, field string, term string, doc_id string, key_clock long")
+    assert [(r["term"], r["doc_id"]) for r in ix.without_terms(p, gone).collect()] == [("t", "1")]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from fathomlex.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("quick fox")
+    (tmp_path / "in" / "b.txt").write_text("lazy dog")
+    main(["index", str(tmp_path / "ix"), str(tmp_path / "in")])
+    main(["search", str(tmp_path / "ix"), "fox"])
+    main(["explain", str(tmp_path / "ix"), "fox"])
+    out = capsys.readouterr().out
+    assert "a.txt" in out and "b.txt" not in out and "TermLeaf" in out
