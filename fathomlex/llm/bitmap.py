@@ -11,34 +11,35 @@ from pyspark.sql import functions as F
 
 from .common import ints
 
-BITS = 1 << 25
+#: Bits are two to this power, if no other is given.
+POWER = 25
 BLOCKS = 64
-_PER = BITS // BLOCKS
 
 
-def _slot(x: np.ndarray) -> np.ndarray:
+def _slot(x: np.ndarray, power: int) -> np.ndarray:
     from .kernels import mix
 
-    return (mix(x.view(np.uint64) if x.dtype == np.int64 else x) >> np.uint64(39)).astype(np.int64)
+    return (mix(x.view(np.uint64) if x.dtype == np.int64 else x) >> np.uint64(64 - power)).astype(np.int64)
 
 
-def of(df: DataFrame, column: str) -> np.ndarray:
-    """A bitmap in which the slot of each value of a bigint column is set: 4 MB, whatever the rows."""
+def of(df: DataFrame, column: str, power: int = POWER) -> np.ndarray:
+    """A bitmap in which the slot of each value of a bigint column is set: 4 MB (2**power bits), whatever the rows."""
+    per = (1 << power) // BLOCKS
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            slot = np.unique(_slot(ints(b, column)))
-            cut = np.searchsorted(slot, np.arange(BLOCKS + 1) * _PER)
-            low = (slot % _PER).astype(np.uint32)
+            slot = np.unique(_slot(ints(b, column), power))
+            cut = np.searchsorted(slot, np.arange(BLOCKS + 1) * per)
+            low = (slot % per).astype(np.uint32)
             yield pa.record_batch([pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array([low[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary())], ["part", "blob"])
 
     def together(t: pa.Table) -> pa.Table:
-        m = np.zeros(_PER, bool)
+        m = np.zeros(per, bool)
         for b in t.column("blob"):
             m[np.frombuffer(b.as_buffer(), np.uint32)] = True
         return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "blob": pa.array([np.packbits(m).tobytes()], pa.binary())})
 
-    out = np.zeros((BLOCKS, _PER // 8), np.uint8)
+    out = np.zeros((BLOCKS, per // 8), np.uint8)
     marked = df.select(column).mapInArrow(marks, "part int, blob binary").where(F.octet_length("blob") > 0)
     for r in marked.groupBy("part").applyInArrow(together, "part int, blob binary").collect():
         out[r["part"]] = np.frombuffer(r["blob"], np.uint8)
@@ -47,5 +48,5 @@ def of(df: DataFrame, column: str) -> np.ndarray:
 
 def has(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
     """False only for values that are not in the set."""
-    s = _slot(x)
+    s = _slot(x, len(bits).bit_length() + 2)
     return (bits[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 > 0

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -14,6 +17,9 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 
+RECORDS = 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -39,6 +45,22 @@ def n_parts(spark: SparkSession) -> int:
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """Return a worker's freed memory to the system: workers live on, and what one step freed would add to the next one's peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not this C library
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``RECORDS`` rows where the session has Spark's default, so that a batch of texts is a few MB on either side."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, RECORDS)
+
+
 def map_chunks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text", most: int = K.CHUNK_BYTES) -> DataFrame:
     """``fn`` over slices of about ``most`` bytes of text; nothing else is held in memory."""
 
@@ -48,7 +70,9 @@ def map_chunks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
                 out = fn(chunk)
                 if out is not None and out.num_rows:
                     yield out
+        give_back()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -63,17 +87,49 @@ def ints(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
 
 
 def blobs(part: np.ndarray, rows: np.ndarray, parts: int) -> pa.RecordBatch:
-    """One (part, blob) row for each part: the bytes of the structured ``rows`` that belong there."""
-    order = np.argsort(part.astype(np.int16 if parts <= 1 << 15 else np.int64), kind="stable")
+    """One (part, blob) row for each part: the structured ``rows`` that belong there, plain numbers in ascending order.
+
+    A blob has the first bytes of all its rows, then the second bytes and so
+    on: bytes that are mostly alike lie together and compress away.
+    """
+    order = np.argsort(part.astype(np.int16 if parts <= 1 << 15 else np.int64), kind="stable") if rows.dtype.names else np.lexsort((rows, part))
     rows = rows[order]
     cut = np.searchsorted(part[order], np.arange(parts + 1))
     have = np.flatnonzero(cut[1:] > cut[:-1])
     size = rows.dtype.itemsize
     offsets = np.r_[cut[have], cut[-1:] if len(have) else [0]].astype(np.int64) * size
-    data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(have), [None, pa.py_buffer(offsets), pa.py_buffer(rows.tobytes())]).cast(pa.binary())
+    flat = np.ascontiguousarray(rows).view(np.uint8).reshape(-1, size)
+    out = np.empty(flat.size, np.uint8)
+    for a, b in zip(cut[have].tolist(), cut[have + 1].tolist()):
+        out[a * size : b * size].reshape(size, b - a)[:] = flat[a:b].T
+    data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(have), [None, pa.py_buffer(offsets), pa.py_buffer(out)]).cast(pa.binary())
     return pa.record_batch([pa.array(have.astype(np.int32)), data], ["part", "blob"])
 
 
+def unblobbed(table: pa.Table, dtype: np.dtype) -> np.ndarray:
+    """All rows of the blobs of a group."""
+    sizes = [len(b.as_buffer()) // dtype.itemsize for b in table.column("blob")]
+    out = np.empty((sum(sizes), dtype.itemsize), np.uint8)
+    at = 0
+    for n, b in zip(sizes, table.column("blob")):
+        out[at : at + n] = np.frombuffer(b.as_buffer(), np.uint8).reshape(dtype.itemsize, n).T
+        at += n
+    return out.reshape(-1).view(dtype)
+
+
+def in_batches(table: pa.Table, rows: int = 1 << 16) -> pa.Table:
+    """The same rows in small batches, so that a large group's result is sent piece by piece."""
+    return pa.Table.from_batches(table.to_batches(max_chunksize=rows), table.schema)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps that are over: Spark drops them when the driver's garbage is collected."""
+    for _ in range(2):  # the cleaner works beside the driver and needs a moment
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def spread(h: np.ndarray, parts: int) -> np.ndarray:
     """The part of each 64-bit hash."""
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -109,7 +165,9 @@ def map_gather(df: DataFrame, fn: Callable[[pa.RecordBatch], tuple[np.ndarray, n
                 if (out := fn(chunk)) is not None:
                     yield from held.add(*out)
         yield from held.flush()
+        give_back()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, "part int, blob binary")
 
 
@@ -118,8 +176,8 @@ def reduce_parts(df: DataFrame, dtype: np.dtype, fn: Callable[[np.ndarray], pa.R
     names = pa_schema(schema)
 
     def run(table: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(b.as_buffer(), dtype=dtype) for b in table.column("blob").combine_chunks()] or [np.zeros(0, dtype)])
-        out = fn(rows)
+        out = fn(unblobbed(table, dtype))
+        give_back()
         if out is None:
             return names.empty_table()
         return pa.Table.from_batches([out]) if isinstance(out, pa.RecordBatch) else out
@@ -134,6 +192,7 @@ def pa_schema(schema: str) -> pa.Schema:
 
 def documents(df: DataFrame, columns: Sequence[str] = ("doc_id", "text")) -> DataFrame:
     """The columns an operator uses and rows that have an id and a text; other columns, whatever their names, stay out."""
+    small_batches(df.sparkSession)
     return df.select(*columns).where(F.col(columns[0]).isNotNull() & F.col("text").isNotNull())
 
 

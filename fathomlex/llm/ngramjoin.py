@@ -4,9 +4,11 @@ A document is the set of its word n-grams.  Documents of one set are collapsed
 first.  The global order puts n-grams of many documents last; a pair of similar
 sets then shares several of the first n-grams of both (l of them, if each gives
 l - 1 more than a prefix filter needs).  Pairs that do meet in a block of the
-first n-gram they share, a block's sets are stored in a trie from that n-gram on,
-and each set walks the trie.  A pair's overlap is complete in the block of its
-first common n-gram, so the largest count of a pair is its overlap.
+first n-gram they share, a block's sets are stored in a trie from that n-gram on
+(whole, if it is a common one), and each set walks the trie.  No block counts
+more than a pair's overlap and that of its first shared n-gram counts it all, so
+the largest count is the overlap.  n-grams and sets are known by 64-bit hashes,
+leads by 48 bits.
 """
 
 from __future__ import annotations
@@ -21,17 +23,20 @@ from pyspark.sql import functions as F
 
 from . import bitmap, setjoin, trie
 from . import kernels as K
-from .common import col, documents, ints, map_chunks, map_gather, multi_range, n_parts, reduce_parts, written
+from .common import col, documents, give_back, in_batches, ints, map_chunks, map_gather, multi_range, n_parts, release, unblobbed, written
 
-#: An n-gram of this many documents goes to the end of the global order.
-COMMON = 32
+#: n-grams of this many documents go to the end of the global order, those of more after those of fewer; two to so many bits mark each kind.
+COMMON = (4, 32, 256)
+COMMON_POWER = (27, 25, 25)
 #: Pairs of one block that are looked at together.
-SLICE = 1 << 19
+SLICE = 1 << 18
 _KEY = np.dtype("<u4")
-_ROW = np.dtype([("k", "<u4"), ("hot", "u1"), ("s", "<u8"), ("n", "<u4"), ("most", "<u4")])
+#: A key of a set: its place in the part, its level plus 4 if it is the set's lead, the set, its size, its n-grams from the key on, and 48 bits of the lead.
+_ROW = np.dtype([("k", "<u4"), ("kind", "u1"), ("s", "<u8"), ("n", "<u4"), ("most", "<u4"), ("head", "<u4"), ("head2", "<u2")])
 _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
-_HOT = np.uint64(1 << 63)
+_TWO = np.uint64(2)
+_TOP = np.uint64(62)
 
 
 def _several(size: np.ndarray) -> np.ndarray:
@@ -60,18 +65,19 @@ def _sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return K.distinct_by_doc(g, offsets)
 
 
-def _in_order(tokens: np.ndarray, offsets: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
-    """The sets' n-grams as ascending numbers of the global order: those of many documents above 2**63."""
+def _in_order(tokens: np.ndarray, offsets: np.ndarray, common: list[np.ndarray], parts: int) -> np.ndarray:
+    """The sets' n-grams as ascending numbers of the global order: how common they are in the upper two bits."""
     p, k = _place(tokens, parts)
-    o = tokens >> np.uint64(1)
-    o[bitmap.has(hot, (p << 32 | k).astype(np.int64))] |= _HOT
-    return K.distinct_by_doc(o, offsets)[0]
+    at = (p << 32 | k).astype(np.int64)
+    level = np.zeros(len(tokens), np.uint64)
+    for bits in common:
+        level += bitmap.has(bits, at)
+    return K.distinct_by_doc((tokens >> _TWO) | (level << _TOP), offsets)[0]
 
 
 def _where(o: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Part, place in the part and hotness of n-grams in the global order."""
-    hot = o >= _HOT
-    return *_place(o << np.uint64(1), parts), hot
+    """Part, place in the part and level of n-grams in the global order."""
+    return *_place(o << _TWO, parts), (o >> _TOP).astype(np.int64)
 
 
 def _summed(rows: np.ndarray) -> np.ndarray:
@@ -94,13 +100,17 @@ def similar_sets(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataF
         return _place(_sets(col(c, "text"), n)[0], parts)
 
     def common(t_: pa.Table) -> pa.Table:
-        k = np.concatenate([np.frombuffer(b.as_buffer(), _KEY) for b in t_.column("blob")])
+        k = unblobbed(t_, _KEY)
         k.sort()
         at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        many = np.diff(np.r_[at, len(k)]) >= COMMON
-        return pa.table({"k": pa.array((t_.column("part")[0].as_py() << 32) | k[at[many]].astype(np.int64))})
+        level = np.digitize(np.diff(np.r_[at, len(k)]), COMMON)
+        some = level > 0
+        return pa.table({"k": pa.array((t_.column("part")[0].as_py() << 32) | k[at[some]].astype(np.int64)), "level": pa.array(level[some].astype(np.int32))})
 
-    hot = spark.sparkContext.broadcast(bitmap.of(map_gather(docs, all_grams, parts).groupBy("part").applyInArrow(common, "k long"), "k"))
+    levels = written(map_gather(docs, all_grams, parts).groupBy("part").applyInArrow(common, "k long, level int"), "common")
+    hot = spark.sparkContext.broadcast([bitmap.of(levels.where(F.col("level") > i), "k", power) for i, power in enumerate(COMMON_POWER)])
+
+    release(spark)
 
     def ids(c: pa.RecordBatch) -> pa.RecordBatch:
         tokens, offsets = _sets(col(c, "text"), n)
@@ -116,16 +126,29 @@ def similar_sets(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataF
         own = np.repeat(np.arange(len(size)), prefix)
         at = multi_range(offsets[:-1], prefix)
         out = np.empty(len(at), _ROW)
-        part, out["k"], out["hot"] = _where(o[at], parts)
+        part, out["k"], level = _where(o[at], parts)
         out["s"], out["n"], out["most"] = sets[own], size[own], (offsets[1:][own] - at)
+        # near copies differ in rare n-grams, so the lead is the first common one that is a key
+        lead = offsets[:-1].copy()
+        for least in (1, 2):
+            below = np.r_[0, np.cumsum(o < np.uint64(least) << _TOP)]
+            below = below[offsets[1:]] - below[offsets[:-1]]
+            lead = np.where(below < prefix, offsets[:-1] + below, lead)
+        out["kind"] = level + 4 * (at == lead[own])
+        head = o[lead[own]]
+        out["head"], out["head2"] = head >> _32, (head >> np.uint64(16)) & np.uint64(0xFFFF)
         return part, out
 
     def meet(table: pa.Table) -> pa.Table:
-        """Pairs of sets that share a key, each with the key as (hot, part, place): a number that ascends with the global order."""
-        r = np.concatenate([np.frombuffer(b.as_buffer(), _ROW) for b in table.column("blob")])
+        """Pairs of sets that share a key, each with the key as (level, part, place): a number that ascends with the global order.
+
+        Sets of the same lead - near copies mostly - are a pair there and nowhere
+        else; others must meet at several keys.
+        """
+        r = unblobbed(table, _ROW)
         part = table.column("part")[0].as_py()
         found = []
-        r = r[np.lexsort((r["s"], r["k"]))]
+        r = r[np.lexsort((255 - r["kind"], r["s"], r["k"]))]
         r = r[np.r_[True, (r["k"][1:] != r["k"][:-1]) | (r["s"][1:] != r["s"][:-1])]]
         c = r["k"].astype(np.uint64) << _32 | r["n"].astype(np.uint64)
         order = np.argsort(c, kind="stable")
@@ -140,21 +163,26 @@ def similar_sets(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataF
             x, y = np.repeat(i[a:z], count[a:z]), multi_range(i[a:z] + 1, count[a:z])
             several = _several(np.minimum(r["n"][x], r["n"][y]))
             ok = np.minimum(r["most"][x], r["most"][y]) > setjoin.overlap_needed(r["n"][x], r["n"][y], t) - several
-            x, y, several = x[ok], y[ok], several[ok]
-            w = (r["hot"][x].astype(np.int64) << 62) | part << 32 | r["k"][x].astype(np.int64)
+            same = (r["head"][x] == r["head"][y]) & (r["head2"][x] == r["head2"][y])
+            ok = np.where(same, (r["kind"][x] >= 4) & (r["kind"][y] >= 4), ok)
+            x, y, several, same = x[ok], y[ok], several[ok], same[ok]
+            w = ((r["kind"][x] & 3).astype(np.int64) << 61) | part << 32 | r["k"][x].astype(np.int64)
             p, q = r["s"][x], r["s"][y]
-            rows = np.stack([np.minimum(p, q).view(np.int64), np.maximum(p, q).view(np.int64), w, several, np.ones(len(x), np.int64)], 1)
+            rows = np.stack([np.minimum(p, q).view(np.int64), np.maximum(p, q).view(np.int64), w, several, np.where(same, several, 1)], 1)
             found.append(_summed(rows))
-            if len(found) > 8:
+            if len(found) > 4:
                 found = [_summed(np.concatenate(found))]
             a = z
         rows = _summed(np.concatenate(found)) if found else np.zeros((0, 5), np.int64)
-        return pa.table([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(5)], ["a", "b", "w", "several", "have"])
+        del r, found
+        give_back()
+        return in_batches(pa.table([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(5)], ["a", "b", "w", "several", "have"]))
 
     of_docs = written(map_chunks(docs, ids, "s long, doc_id long"), "sets")
     pairs = map_gather(docs, keys, parts).groupBy("part").applyInArrow(meet, "a long, b long, w long, several long, have long")
     pairs = pairs.groupBy("a", "b", "several").agg(F.min("w").alias("w"), F.sum("have").alias("have")).where("have >= several")
     members = written(pairs.select("w", F.explode(F.array("a", "b")).alias("s")).distinct(), "blocks")
+    release(spark)
     wanted = spark.sparkContext.broadcast(bitmap.of(members, "s"))
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,8 +209,8 @@ def similar_sets(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataF
         out = []
         for lo, hi in zip(edges.tolist(), np.r_[edges[1:], len(w)].tolist()):
             rows = order[lo:hi]
-            hot_, part, k = int(w[rows[0]]) >> 62, int(w[rows[0]]) >> 32 & 0x3FFFFFFF, int(w[rows[0]]) & 0xFFFFFFFF
-            start = np.uint64(hot_ << 63) | np.uint64(_least_at(part, k, parts) >> 1)
+            level, part, k = int(w[rows[0]]) >> 61, int(w[rows[0]]) >> 32 & 0x1FFFFFFF, int(w[rows[0]]) & 0xFFFFFFFF
+            start = np.uint64(0) if level else np.uint64(_least_at(part, k, parts) >> 2)
             whole = [flat[cut[r] : cut[r + 1]] for r in rows]
             for i, j, both in trie.join([x[np.searchsorted(x, start) :] for x in whole], [len(x) for x in whole], t):
                 a, b = (i, j) if s[rows[i]].astype(np.uint64) < s[rows[j]].astype(np.uint64) else (j, i)
@@ -240,4 +268,4 @@ def groups(pairs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, n: int = 2, t: Fraction = Fraction(3, 5)) -> DataFrame:
     """``docs`` with one document of each group of similar ones, that of least id; rows that repeat id and text are one."""
     gone = groups(find_similar(docs, n, t)).where("doc_id <> first").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti").dropDuplicates(["doc_id", "text"])
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").dropDuplicates(["doc_id", "text"])

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import bitmap
 from . import kernels as K
-from .common import col, documents, ints, map_chunks, map_gather, n_parts, new_path, spread, written
+from .common import col, documents, ints, map_chunks, map_gather, n_parts, new_path, spread, unblobbed, written
 
 SPAN = 50
 K_WORDS = 25
@@ -153,7 +153,7 @@ def ingest(index: Index, batch_id: str, batch: DataFrame, history: DataFrame) ->
     texts = texts.mapInArrow(filtered, "doc_id long, text string, new int")
 
     def repeated(table: pa.Table) -> pa.Table:
-        r = np.concatenate([np.frombuffer(b.as_buffer(), _ROW) for b in table.column("blob")])
+        r = unblobbed(table, _ROW)
         r = r[np.lexsort((r["at"], r["doc"], r["new"], r["w"]))]
         first = np.flatnonzero(np.r_[True, r["w"][1:] != r["w"][:-1]])
         group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(r)]))
