@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import bitmap, rarity, setjoin
 from . import kernels as K
-from .common import col, documents, ints, map_chunks, map_gather, n_parts, reduce_parts, spread, written
+from .common import col, documents, give_back, ints, map_chunks, map_gather, n_parts, reduce_parts, spread, written
 
 #: A word counted at most this often in the corpus is rare enough to be a key of its own.
 RARE = 128
@@ -63,6 +63,7 @@ def _scan(docs: DataFrame, least: int) -> DataFrame:
                     ["part", "blob", "s", "doc_id", "h", "line"],
                 )
         r = counter.rows()
+        give_back()
         yield pa.record_batch([r.column(0), r.column(1), *(pa.nulls(r.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["part", "blob", "s", "doc_id", "h", "line"])
 
     return docs.mapInArrow(run, "part int, blob binary, s long, doc_id long, h long, line int")

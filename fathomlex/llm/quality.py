@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import stats
-from .common import col, ints, map_chunks
+from .common import col, give_back, map_chunks, small_batches
 
 #: Documents whose posterior labels train the scorer, at most: the only bound here.
 SAMPLE = 8192
@@ -179,6 +179,7 @@ class Model:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Both models: votes are counted over all documents, the scorer learns from ``sample`` of them at most, spread evenly by a hash of the id."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text").where(F.col("text").isNotNull())
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,5 +243,6 @@ def keep_good(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 texts = col(c, "text")
                 x = K.words(texts)
                 yield c.filter(pa.array((scores(texts, x, model.value.weights) >= 0.5) & (np.diff(x.offsets) > 0)))
+        give_back()
 
     return docs.mapInArrow(good, docs.schema)

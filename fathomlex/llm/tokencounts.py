@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import col, map_chunks, new_path, written
+from .common import col, new_path, small_batches, written
 
 FOLDER = os.environ.get("FATHOMLEX_TOKENIZERS", "/opt/tokenizers")
 #: Splits a text before the merges of the rank files.
@@ -69,6 +69,7 @@ TOKENIZERS: dict[str, Callable[[], Counter]] = {
 def counted(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, source, lang, tokenizer, tokens, chars, digest) of every row of ``docs``; a null text counts 0 of both and has no digest."""
     make = TOKENIZERS[tokenizer]
+    small_batches(docs.sparkSession)
 
     def run(batches):
         count = make()
