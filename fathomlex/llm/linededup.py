@@ -73,8 +73,8 @@ def find_repeats(docs: DataFrame, t: Fraction = Fraction(9, 10), least: int = 3)
     """The lines that go, as (doc_id, h, line): h is xxhash64 of the text, line counts from 0.
 
     Rows without id or text have no lines.  Lines of fewer than ``least``
-    distinct words are never compared and stay.  Rows that agree in id and text
-    are one document.
+    distinct words are never compared and stay; with 1, every line that has a
+    word is.  Rows that agree in id and text are one document.
     """
     spark = docs.sparkSession
     docs = documents(docs).withColumn("h", F.xxhash64("text"))
@@ -89,6 +89,8 @@ def find_repeats(docs: DataFrame, t: Fraction = Fraction(9, 10), least: int = 3)
         _, one = np.unique(sets, return_index=True)
         take = np.zeros(len(sets), bool)
         take[one] = True
+        n = np.diff(offsets)
+        take &= n * t.denominator >= (n + 1) * t.numerator  # smaller sets are like their equals only, which have one hash
         tokens, offsets = tokens[np.repeat(take, np.diff(offsets))], np.r_[0, np.cumsum(np.diff(offsets)[take])]
         key, rows = setjoin.rows(_ordered(tokens, offsets, cls.value), offsets, sets[take], t, rare)
         return spread(key, parts), rows
@@ -149,8 +151,8 @@ def dedup_lines(docs: DataFrame, t: Fraction = Fraction(9, 10), least: int = 3)
     return j.select("doc_id", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
 
 
-def without_repeats(docs: DataFrame, t: Fraction = Fraction(9, 10), least: int = 3) -> DataFrame:
-    """``docs`` with all their columns and the texts of ``dedup_lines``; n_chars, if there is one, is counted again.
+def without_repeats(docs: DataFrame, t: Fraction = Fraction(9, 10), least: int = 1) -> DataFrame:
+    """``docs`` with all their columns and the texts of ``dedup_lines``, every line that has a word compared; n_chars, if there is one, is counted again.
 
     Rows whose text had words and has none left are dropped; all others come
     back, also those without id or text.

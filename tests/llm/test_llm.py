@@ -389,6 +389,22 @@ def test_10_edges(spark):
     assert left.columns == docs(spark).columns and sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "3", "4", "5", "6", "7", "8", "None"]
 
 
+def test_10_copies_with_short_lines_go_whole(spark):
+    d = [(1, "Contents\none two three four\nsee also\n--"), (2, "Contents\none two three four\nsee also\n--"), (3, "also see\nContents\nfive six\nfive seven\n\nseven"), (4, "five six\nfive six seven")]
+    left = got(linededup.without_repeats(spark.createDataFrame(d, "doc_id long, text string")))
+    assert left == [d[0], (3, "five six\nfive seven\n\nseven"), (4, "five six seven")]
+
+
+def test_10_every_line_against_brute_force(spark):
+    rnd = random.Random(17)
+    vocab = [f"v{i}" for i in range(14)]
+    pool = [" ".join(rnd.choice(vocab) for _ in range(n)) for n in [1, 1, 2, 2, 3, 5, 8, 9, 10, 30, 60] * 3]
+    d = [(i, "\n".join(rnd.choice(pool) + rnd.choice(["", "", " v1 v2"]) for _ in range(rnd.randrange(1, 5)))) for i in range(25)]
+    gone = repeated_lines(d, least=1)
+    texts = [(i, "\n".join(s for k, s in enumerate(t.split("\n")) if (i, k) not in gone)) for i, t in d]
+    assert got(linededup.without_repeats(spark.createDataFrame(d, "doc_id long, text string"))) == [x for x in texts if words(x[1])]
+
+
 def test_automaton_against_re():
     rnd = random.Random(17)
     for rule in ("ab*c", "(ab|a)c{2,3}", "[a-c]{2}x?", "(?i)abc"):
