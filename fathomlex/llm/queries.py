@@ -131,7 +131,7 @@ QUERIES["op9_sentencepiece"] = op9_sentencepiece
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencounts.maintain(table(spark, sf_dir, "documents"))
+    return tokencounts.totals(table(spark, sf_dir, "documents"))
 
 
 QUERIES["op6_token_counts"] = op6_token_counts

@@ -15,7 +15,8 @@ import hashlib
 import json
 import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -183,3 +184,22 @@ def maintain(docs: DataFrame, tokenizer: str = "byte_bpe_50k-1", path: str | Non
     for batch, changes in (("load", inserts(estimates(rows))), ("recount", revisions(estimates(rows), rows)), ("load", inserts(estimates(rows))), ("copies", deletes(copies))):
         rollup.commit(batch, changes)  # the second "load" is a retry and changes nothing
     return rollup.totals()
+
+
+def totals(docs: DataFrame, tokenizers: Sequence[str] = tuple(TOKENIZERS), path: str | None = None) -> DataFrame:
+    """Totals of all rows of ``docs``, copies too, for each tokenizer version: (source, lang, tokenizer, docs, tokens, chars).
+
+    Documents come in as estimates, which the counts of the first version
+    replace; those of the others are added.  Copies, as in ``maintain``, are
+    deleted and come back, which nets out.  Null texts count no tokens; an empty
+    table gives no rows.
+    """
+    rollup = Rollup(docs.sparkSession, path)
+    rows = written(reduce(DataFrame.unionByName, (counted(docs, t) for t in tokenizers)), "counted")
+    first, others = (rows.where(F.col("tokenizer") == tokenizers[0]), rows.where(F.col("tokenizer") != tokenizers[0]))
+    by_text = Window.partitionBy("tokenizer", "digest").orderBy(F.col("doc_id").asc_nulls_last(), "source", "lang")
+    copies = rows.where("digest IS NOT NULL").withColumn("_n", F.row_number().over(by_text)).where("_n > 1").drop("_n")
+    load = inserts(estimates(first))
+    for batch, changes in (("load", load), ("recount", revisions(estimates(first), first)), ("load", load), ("others", inserts(others)), ("copies", deletes(copies)), ("copies back", inserts(copies))):
+        rollup.commit(batch, changes)  # the second "load" is a retry and changes nothing
+    return rollup.totals()

@@ -245,6 +245,19 @@ def test_6_counts_against_brute_force(spark):
     assert found == dict(want) and tokencounts.maintain(empty(spark)).count() == 0
 
 
+def test_6_totals_of_all_documents_and_tokenizers(spark, tmp_path):
+    docs(spark, more=False).write.parquet(str(tmp_path / "documents.parquet"))
+    want = defaultdict(lambda: [0, 0, 0])
+    for version, make in tokencounts.TOKENIZERS.items():
+        count = make()
+        for _, t, lang, source, _ in rows():
+            w = want[(source, lang, version)]
+            for k, v in enumerate((1, int(count(pa.array([t], pa.string()))[0]), len(t or ""))):
+                w[k] += v
+    found = {(r["source"], r["lang"], r["tokenizer"]): [r["docs"], r["tokens"], r["chars"]] for r in queries.QUERIES["op6_token_counts"](spark, str(tmp_path)).collect()}
+    assert found == dict(want) and tokencounts.totals(empty(spark)).count() == 0
+
+
 def test_6_batches_are_idempotent_and_merged(spark):
     r = tokencounts.Rollup(spark, fanout=2)
     rows_ = tokencounts.counted(docs(spark), "words-1")
