@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -358,7 +359,7 @@ ORACLE["facet_counts"] = f"{_BASE} SELECT source AS value, count(*) AS n FROM t
 
 def solr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A select request, its documents as rows."""
-    r = solr.select(engine(spark, sf_dir), {"q": "from AND lang:en", "rows": "15", "fl": "id,lang,n_chars", "sort": "n_chars desc"}, "docs")
+    r = solr.select(replace(engine(spark, sf_dir), most=None), {"q": "from AND lang:en", "rows": "15", "fl": "id,lang,n_chars", "sort": "n_chars desc"}, "docs")
     return spark.createDataFrame([(d["id"], d["fields"]["lang"], d["fields"]["n_chars"], r["num_found"]) for d in r["docs"]], "doc_id string, lang string, n_chars string, num_found long")
 
 

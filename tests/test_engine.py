@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from fathomlex.errors import SearchError
 from fathomlex.functions.analyzers import ANALYZERS, tokens
 from fathomlex.operators import index as ix
-from fathomlex.operators.engine import Engine
+from fathomlex.operators.engine import MOST_RESULTS, Engine
+from fathomlex.plans import registry
 from fathomlex.plans import schema as sc
 from fathomlex.sources import extract, solr
 from fathomlex.streaming.ingest import Store
@@ -179,6 +180,15 @@ def test_solr_round(spark):
         solr.update(e, "<add><doc><field name='t'>x</field></doc></add>", "b")
 
 
+def test_registered_select_has_no_cap(spark, monkeypatch):
+    monkeypatch.setattr(Engine.__init__, "__defaults__", tuple(1 if x == MOST_RESULTS else x for x in Engine.__init__.__defaults__))
+    sf = "/root/testdata/sf0.001"
+    with pytest.raises(SearchError, match="too_many_results"):
+        registry.engine(spark, sf).found("docs", "from AND lang:en")
+    rows = registry.QUERIES["solr_select"](spark, sf).collect()
+    assert len(rows) == 15 and rows[0]["num_found"] > 15
+
+
 def test_last_write_wins(spark):
     rows = [("i", "f", "t", "d", [1], None, 1), ("i", "f", "t", "d", [2], None, 2)]
     p = spark.createDataFrame(rows, "index string, field string, term string, doc_id string, positions array<int>, inline map<string,array<string>>, key_clock bigint")
