@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -21,9 +19,11 @@ RECORDS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset and Spark is local (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="fathomlex-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -34,15 +34,41 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a table in the shared folder: what was computed outlives the loss of any executor and is not computed again."""
-    path = new_path(df.sparkSession, tag)
+    """``df`` as a table in the shared folder: what was computed outlives the loss of any executor and is not computed again.
+
+    The table goes when the application ends, or before with ``drop``.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where, fs = _file_system(spark, path)
+    fs.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
 
+def drop(df: DataFrame) -> None:
+    """Delete a table that ``written`` made, when all that was to come of it is there."""
+    where, fs = _file_system(df.sparkSession, df._written)
+    fs.delete(where, True)
 
-def n_parts(spark: SparkSession) -> int:
-    """Parts of a blob exchange: a few to each shuffle partition, so that they even out."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+#: Estimated bytes of input to one part of a blob exchange.
+PART_BYTES = 2 << 20
+
+
+def n_parts(df: DataFrame) -> int:
+    """Parts of a blob exchange over ``df``: in proportion to the bytes that Spark expects of it, whatever the shuffle partitions; those alone if it can't tell."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > 1 << 50:  # not from files
+        return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(48, -(-size // PART_BYTES))
 
 
 def give_back() -> None:
@@ -122,14 +148,6 @@ def in_batches(table: pa.Table, rows: int = 1 << 16) -> pa.Table:
     return pa.Table.from_batches(table.to_batches(max_chunksize=rows), table.schema)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of steps that are over: Spark drops them when the driver's garbage is collected."""
-    for _ in range(2):  # the cleaner works beside the driver and needs a moment
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def spread(h: np.ndarray, parts: int) -> np.ndarray:
     """The part of each 64-bit hash."""
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)

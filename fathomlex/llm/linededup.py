@@ -81,7 +81,7 @@ def find_repeats(docs: DataFrame, t: Fraction = Fraction(9, 10), least: int = 3)
     scan = written(_scan(docs, least), "lines")
     lines = scan.where("part IS NULL").select("s", "doc_id", "h", "line")
     cls = spark.sparkContext.broadcast(rarity.classes(rarity.added_up(scan.where("part IS NOT NULL").select("part", "blob"))))
-    parts, rare = n_parts(spark), rarity.class_at(RARE)
+    parts, rare = n_parts(docs), rarity.class_at(RARE)
 
     def keys(c: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         tokens, offsets, _, _ = _lines(col(c, "text"), least)

@@ -1,42 +1,53 @@
-"""N-gram Jaccard self-join of documents by prefix trees, and the groups it makes.
+"""N-gram Jaccard self-join of documents by prefix trees, and the classes it makes.
 
 A document is the set of its word n-grams.  Documents of one set are collapsed
-first.  The global order puts n-grams of many documents last; a pair of similar
-sets then shares several of the first n-grams of both (l of them, if each gives
-l - 1 more than a prefix filter needs).  Pairs that do meet in a block of the
-first n-gram they share, a block's sets are stored in a trie from that n-gram on
-(whole, if it is a common one), and each set walks the trie.  No block counts
-more than a pair's overlap and that of its first shared n-gram counts it all, so
-the largest count is the overlap.  n-grams and sets are known by 64-bit hashes,
-leads by 48 bits.
+first.  Large families of near copies are balls around a few centres: their
+members are similar to each other by the triangle inequality (``centres``), and
+whatever else lies near a ball walks tries of its members.  All other sets meet
+at the n-grams that come first in a global order, those of few documents before
+those of many, n-grams of one document left out.  A pair of similar sets shares
+several of the first n-grams of both (l of them, if each gives l - 1 more than a
+prefix filter needs).  The sets of pairs that do meet are stored, in a block of
+the first n-gram they share, in a trie from that n-gram on (whole, if it is a
+common one), and each walks the trie.  No block counts more than a pair's
+overlap and that of its first shared n-gram counts it all, so the largest count
+is the overlap.  n-grams and sets are known by 64-bit hashes, leads by 48 bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import bitmap, setjoin, trie
+from . import bitmap, centres, setjoin, trie
 from . import kernels as K
-from .common import col, documents, give_back, in_batches, ints, map_chunks, map_gather, multi_range, n_parts, release, unblobbed, written
-
-#: n-grams of this many documents go to the end of the global order, those of more after those of fewer; two to so many bits mark each kind.
-COMMON = (4, 32, 256)
-COMMON_POWER = (27, 25, 25)
+from .common import col, documents, drop, give_back, in_batches, ints, map_chunks, map_gather, multi_range, n_parts, pa_schema, unblobbed, written
+
+#: n-grams of so many documents and more make a level of the global order each; level 0 is n-grams of one document.
+COMMON = (2, 4, 32, 256, 2048, 16384, 131072)
+#: Level of n-grams that can be the lead of a large family.
+FAMILY = 3
+#: Different sets that make a family large, and how many of them are looked at to find its centre, about.
+LARGE, SAMPLE = 64, 24
+#: Bounds of what is broadcast: centres, their n-grams, and bits that tell the levels. The largest families come first; smaller ones just meet at keys.
+MOST_CENTRES, MOST_TOKENS, MOST_BITS = 2048, 1 << 20, 1 << 28
+#: Members and visitors of a ball in one trie.
+MEMBERS, VISITORS = 512, 2048
 #: Pairs of one block that are looked at together.
 SLICE = 1 << 18
 _KEY = np.dtype("<u4")
-#: A key of a set: its place in the part, its level plus 4 if it is the set's lead, the set, its size, its n-grams from the key on, and 48 bits of the lead.
+#: A key of a set: its place in the part, its level plus 8 if it is the set's lead, the set, its size, its n-grams from the key on, and 48 bits of the lead.
 _ROW = np.dtype([("k", "<u4"), ("kind", "u1"), ("s", "<u8"), ("n", "<u4"), ("most", "<u4"), ("head", "<u4"), ("head2", "<u2")])
 _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
-_TWO = np.uint64(2)
-_TOP = np.uint64(62)
+_THREE = np.uint64(3)
+_TOP = np.uint64(61)
 
 
 def _several(size: np.ndarray) -> np.ndarray:
@@ -65,19 +76,77 @@ def _sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return K.distinct_by_doc(g, offsets)
 
 
-def _in_order(tokens: np.ndarray, offsets: np.ndarray, common: list[np.ndarray], parts: int) -> np.ndarray:
-    """The sets' n-grams as ascending numbers of the global order: how common they are in the upper two bits."""
-    p, k = _place(tokens, parts)
-    at = (p << 32 | k).astype(np.int64)
-    level = np.zeros(len(tokens), np.uint64)
-    for bits in common:
-        level += bitmap.has(bits, at)
-    return K.distinct_by_doc((tokens >> _TWO) | (level << _TOP), offsets)[0]
+@dataclass
+class _Levels:
+    """Bits that tell how common n-grams are: for each level and part, 2**power of them from ``first`` on."""
+
+    parts: int
+    first: np.ndarray
+    power: np.ndarray
+    bits: np.ndarray
+
+    def of(self, part: np.ndarray, k: np.ndarray) -> np.ndarray:
+        level = np.zeros(len(k), np.int64)
+        alive = np.arange(len(k))
+        for first, power in zip(self.first, self.power):
+            p = part[alive]
+            slot = first[p] + (k[alive].astype(np.int64) >> (32 - power[p]))
+            ok = (self.bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+            alive = alive[ok]
+            level[alive] += 1
+        return level
+
+
+def _levels(docs: DataFrame, n: int, parts: int) -> _Levels:
+    """How common each n-gram is, counted over all documents and told in ``MOST_BITS`` bits a level at most: n-grams that share a bit count as the more common one."""
+
+    def all_grams(c: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return _place(_sets(col(c, "text"), n)[0], parts)
+
+    def bits(t_: pa.Table) -> pa.Table:
+        k = unblobbed(t_, _KEY)
+        k.sort()
+        at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        df = np.diff(np.r_[at, len(k)])
+        k = k[at]
+        powers, out = [], []
+        for least in COMMON:
+            some = k[df >= least]
+            power = min(max(3, int(16 * len(some)).bit_length()), max(3, (MOST_BITS // parts).bit_length() - 1))
+            m = np.zeros(1 << power, np.uint8)
+            m[some >> np.uint32(32 - power)] = 1
+            powers.append(power)
+            out.append(np.packbits(m, bitorder="little").tobytes())
+        del k
+        give_back()
+        return pa.table({"part": t_.column("part")[:1], "level": pa.array([list(range(len(COMMON)))], pa.list_(pa.int32())), "power": pa.array([powers], pa.list_(pa.int32())), "bits": pa.array([b"".join(out)], pa.binary())})
+
+    rows = map_gather(docs, all_grams, parts).groupBy("part").applyInArrow(bits, "part int, level array<int>, power array<int>, bits binary").select("part", "power", "bits").collect()
+    first, power = np.zeros((len(COMMON), parts), np.int64), np.full((len(COMMON), parts), 3, np.int64)
+    at, flat = 8, [b"\0"]
+    for r in rows:
+        flat.append(bytes(r["bits"]))
+        for i, p in enumerate(r["power"]):
+            first[i, r["part"]], power[i, r["part"]] = at, p
+            at += 1 << p
+    return _Levels(parts, first, power, np.frombuffer(b"".join(flat), np.uint8))
+
+
+def _in_order(tokens: np.ndarray, offsets: np.ndarray, levels: _Levels) -> np.ndarray:
+    """The sets' n-grams as ascending numbers of the global order: how common they are in the upper three bits."""
+    level = levels.of(*_place(tokens, levels.parts)).astype(np.uint64)
+    return K.distinct_by_doc((tokens >> _THREE) | (level << _TOP), offsets)[0]
 
 
 def _where(o: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Part, place in the part and level of n-grams in the global order."""
-    return *_place(o << _TWO, parts), (o >> _TOP).astype(np.int64)
+    return *_place(o << _THREE, parts), (o >> _TOP).astype(np.int64)
+
+
+def _at_level(o: np.ndarray, offsets: np.ndarray, level: int) -> np.ndarray:
+    """How many n-grams of each set are below a level: the place of its first one from there on."""
+    below = np.r_[0, np.cumsum(o < np.uint64(level) << _TOP)]
+    return below[offsets[1:]] - below[offsets[:-1]]
 
 
 def _summed(rows: np.ndarray) -> np.ndarray:
@@ -91,115 +160,169 @@ def _summed(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def similar_sets(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataFrame]:
-    """(s, doc_id) of all documents that have words, and (a, b, common, na, nb) of all pairs of different sets that reach similarity t."""
-    spark, parts = docs.sparkSession, n_parts(docs.sparkSession)
+def _keys(o: np.ndarray, offsets: np.ndarray, sets: np.ndarray, parts: int, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """(part, row) of the keys of sets."""
+    size = np.diff(offsets)
+    prefix = np.where(size > 0, np.minimum(size, size - setjoin.needed(size, t) + _several(size)), 0)
+    own = np.repeat(np.arange(len(size)), prefix)
+    at = multi_range(offsets[:-1], prefix)
+    # near copies differ in rare n-grams, so the lead is the first common one that is a key
+    lead = offsets[:-1].copy()
+    for least in (2, FAMILY):
+        below = _at_level(o, offsets, least)
+        lead = np.where(below < prefix, offsets[:-1] + below, lead)
+    several = (o[at] >> _TOP) > 0  # an n-gram of one document meets nothing
+    own, at = own[several], at[several]
+    out = np.empty(len(at), _ROW)
+    part, out["k"], level = _where(o[at], parts)
+    out["s"], out["n"], out["most"] = sets[own], size[own], offsets[1:][own] - at
+    out["kind"] = level + 8 * (at == lead[own])
+    head = o[lead[own]]
+    out["head"], out["head2"] = head >> _32, (head >> np.uint64(16)) & np.uint64(0xFFFF)
+    return part, out
+
+
+def _meet(r: np.ndarray, part: int, t: Fraction) -> np.ndarray:
+    """Pairs of sets that share a key, each with the key as (level, part, place): a number that ascends with the global order.
+
+    Sets of the same lead - near copies mostly - are a pair there and nowhere
+    else; others must meet at several keys.
+    """
+    found = []
+    r = r[np.lexsort((255 - r["kind"], r["s"], r["k"]))]
+    r = r[np.r_[True, (r["k"][1:] != r["k"][:-1]) | (r["s"][1:] != r["s"][:-1])]]
+    c = r["k"].astype(np.uint64) << _32 | r["n"].astype(np.uint64)
+    order = np.argsort(c, kind="stable")
+    r, c = r[order], c[order]
+    longest = np.minimum(r["n"].astype(np.uint64) * np.uint64(t.denominator) // np.uint64(t.numerator), _LOW)
+    i = np.arange(len(r))
+    count = np.searchsorted(c, r["k"].astype(np.uint64) << _32 | longest, "right") - i - 1
+    done = np.r_[0, np.cumsum(count)]
+    a = 0
+    while a < len(r):
+        z = max(a + 1, int(np.searchsorted(done, done[a] + SLICE, "right")) - 1)
+        x, y = np.repeat(i[a:z], count[a:z]), multi_range(i[a:z] + 1, count[a:z])
+        several = _several(np.minimum(r["n"][x], r["n"][y]))
+        ok = np.minimum(r["most"][x], r["most"][y]) > setjoin.overlap_needed(r["n"][x], r["n"][y], t) - several
+        same = (r["head"][x] == r["head"][y]) & (r["head2"][x] == r["head2"][y])
+        ok = np.where(same, (r["kind"][x] >= 8) & (r["kind"][y] >= 8), ok)
+        x, y, several, same = x[ok], y[ok], several[ok], same[ok]
+        w = ((r["kind"][x] & 7).astype(np.int64) << 60) | part << 32 | r["k"][x].astype(np.int64)
+        p, q = r["s"][x], r["s"][y]
+        rows = np.stack([np.minimum(p, q).view(np.int64), np.maximum(p, q).view(np.int64), w, several, np.where(same, several, 1)], 1)
+        found.append(_summed(rows))
+        if len(found) > 4:
+            found = [_summed(np.concatenate(found))]
+        a = z
+    return _summed(np.concatenate(found)) if found else np.zeros((0, 5), np.int64)
+
+
+def _table(columns: list, schema: str) -> pa.Table:
+    """Numbers as a table of a Spark schema."""
+    names = pa_schema(schema)
+    return pa.table([pa.array(np.asarray(c), f.type) for c, f in zip(columns, names)], schema=names)
+
+
+def _centres(docs: DataFrame, sets: DataFrame, n: int, t: Fraction) -> centres.Centres | None:
+    """Centres of the largest families: what most of some sets of one lead have in common."""
+    spark = docs.sparkSession
+    families = sets.where("lead <> 0").select("lead", "s").distinct().groupBy("lead").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= LARGE)
+    top = families.orderBy(F.desc("m"), "lead").limit(MOST_CENTRES).collect() if centres.outer(t) > 0 else []
+    if not top:
+        return None
+    hot = F.broadcast(spark.createDataFrame([(r["lead"], r["m"]) for r in top], "lead long, m long"))
+    some = sets.join(hot, "lead").where(F.expr(f"pmod(xxhash64(lead, s), greatest(1, m div {SAMPLE})) = 0")).groupBy("lead", "s").agg(F.min("doc_id").alias("doc_id"))
+    some = written(some.select("doc_id", F.col("lead").alias("family")), "family-sample")  # about SAMPLE rows a family
+
+    def tokens(c: pa.RecordBatch) -> pa.RecordBatch:
+        g, offsets = _sets(col(c, "text"), n)
+        return pa.record_batch([pa.array(ints(c, "family"), pa.int64()), setjoin.binaries(g, offsets)], ["family", "tokens"])
+
+    def middle(table: pa.Table) -> pa.Table:
+        flat, cut = setjoin.lists(col(table, "tokens"))
+        c = centres.consensus([flat[a:b] for a, b in zip(cut[:-1], cut[1:])], t)
+        return pa.table({"family": table.column("family")[:1], "n": pa.array([len(c)], pa.int64()), "tokens": pa.array([c.tobytes()], pa.binary())})
+
+    read = docs.join(F.broadcast(some), "doc_id").select("family", "text")
+    middles = written(map_chunks(read, tokens, "family long, tokens binary").groupBy("family").applyInArrow(middle, "family long, n long, tokens binary"), "centres")
+    size = dict(middles.where("n > 0").select("family", "n").collect())
+    use, total = [], 0
+    for r in top:
+        if r["lead"] in size and total + size[r["lead"]] <= MOST_TOKENS:
+            total += size[r["lead"]]
+            use.append(r["lead"])
+    found = {r["family"]: np.frombuffer(bytes(r["tokens"]), np.uint64) for r in middles.where(F.col("family").isin(use)).collect()} if use else {}
+    drop(some)
+    drop(middles)
+    return centres.build([found[f] for f in use], t) if use else None
+
+
+@dataclass
+class Similar:
+    """sets (s, doc_id), all documents that have words; pairs (a, b, common, na, nb), similar sets that aren't of one ball; members (s, ball); visits (s, ball, d): s, of no or another ball, is similar to d documents of the ball, or, ball -1, s is a member and similar to d documents that visit it."""
+
+    sets: DataFrame
+    pairs: DataFrame
+    members: DataFrame
+    visits: DataFrame
+
+
+def similar_sets(docs: DataFrame, n: int, t: Fraction) -> Similar:
+    spark = docs.sparkSession
     docs = documents(docs)
-
-    def all_grams(c: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        return _place(_sets(col(c, "text"), n)[0], parts)
-
-    def common(t_: pa.Table) -> pa.Table:
-        k = unblobbed(t_, _KEY)
-        k.sort()
-        at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        level = np.digitize(np.diff(np.r_[at, len(k)]), COMMON)
-        some = level > 0
-        return pa.table({"k": pa.array((t_.column("part")[0].as_py() << 32) | k[at[some]].astype(np.int64)), "level": pa.array(level[some].astype(np.int32))})
-
-    levels = written(map_gather(docs, all_grams, parts).groupBy("part").applyInArrow(common, "k long, level int"), "common")
-    hot = spark.sparkContext.broadcast([bitmap.of(levels.where(F.col("level") > i), "k", power) for i, power in enumerate(COMMON_POWER)])
-
-    release(spark)
+    parts = n_parts(docs)
+    levels = spark.sparkContext.broadcast(_levels(docs, n, parts))
 
     def ids(c: pa.RecordBatch) -> pa.RecordBatch:
         tokens, offsets = _sets(col(c, "text"), n)
         some = np.diff(offsets) > 0
-        return pa.record_batch([pa.array(setjoin.set_hash(tokens, offsets)[some].view(np.int64)), pa.array(ints(c, "doc_id")[some], pa.int64())], ["s", "doc_id"])
+        o = _in_order(tokens, offsets, levels.value)
+        below = _at_level(o, offsets, FAMILY)
+        lead = np.zeros(len(below), np.uint64)
+        has = below < np.diff(offsets)
+        lead[has] = o[offsets[:-1][has] + below[has]]
+        return pa.record_batch([pa.array(setjoin.set_hash(tokens, offsets)[some].view(np.int64)), pa.array(ints(c, "doc_id")[some], pa.int64()), pa.array(lead[some].view(np.int64))], ["s", "doc_id", "lead"])
+
+    sets = written(map_chunks(docs, ids, "s long, doc_id long, lead long").distinct(), "sets")
+    middle = spark.sparkContext.broadcast(_centres(docs, sets, n, t))
+    members, visits = _in_balls(docs, sets, n, t, levels, middle) if middle.value else (spark.createDataFrame([], "s long, ball int"), spark.createDataFrame([], "s long, ball int, d long"))
+
+    def free(c: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sets of a chunk that are in no ball: n-grams, offsets, hash of each; equal ones once."""
+        tokens, offsets = _sets(col(c, "text"), n)
+        s = setjoin.set_hash(tokens, offsets)
+        ok = np.zeros(len(s), bool)
+        ok[np.unique(s, return_index=True)[1]] = True
+        ok &= np.diff(offsets) > 0
+        if middle.value:
+            ok &= middle.value.balls(tokens, offsets)[0] < 0
+        return tokens[np.repeat(ok, np.diff(offsets))], np.r_[0, np.cumsum(np.diff(offsets)[ok])], s[ok]
 
     def keys(c: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        tokens, offsets = _sets(col(c, "text"), n)
-        sets = setjoin.set_hash(tokens, offsets)
-        o = _in_order(tokens, offsets, hot.value, parts)
-        size = np.diff(offsets)
-        prefix = np.where(size > 0, np.minimum(size, size - setjoin.needed(size, t) + _several(size)), 0)
-        own = np.repeat(np.arange(len(size)), prefix)
-        at = multi_range(offsets[:-1], prefix)
-        out = np.empty(len(at), _ROW)
-        part, out["k"], level = _where(o[at], parts)
-        out["s"], out["n"], out["most"] = sets[own], size[own], (offsets[1:][own] - at)
-        # near copies differ in rare n-grams, so the lead is the first common one that is a key
-        lead = offsets[:-1].copy()
-        for least in (1, 2):
-            below = np.r_[0, np.cumsum(o < np.uint64(least) << _TOP)]
-            below = below[offsets[1:]] - below[offsets[:-1]]
-            lead = np.where(below < prefix, offsets[:-1] + below, lead)
-        out["kind"] = level + 4 * (at == lead[own])
-        head = o[lead[own]]
-        out["head"], out["head2"] = head >> _32, (head >> np.uint64(16)) & np.uint64(0xFFFF)
-        return part, out
+        tokens, offsets, s = free(c)
+        return _keys(_in_order(tokens, offsets, levels.value), offsets, s, parts, t)
 
     def meet(table: pa.Table) -> pa.Table:
-        """Pairs of sets that share a key, each with the key as (level, part, place): a number that ascends with the global order.
-
-        Sets of the same lead - near copies mostly - are a pair there and nowhere
-        else; others must meet at several keys.
-        """
-        r = unblobbed(table, _ROW)
-        part = table.column("part")[0].as_py()
-        found = []
-        r = r[np.lexsort((255 - r["kind"], r["s"], r["k"]))]
-        r = r[np.r_[True, (r["k"][1:] != r["k"][:-1]) | (r["s"][1:] != r["s"][:-1])]]
-        c = r["k"].astype(np.uint64) << _32 | r["n"].astype(np.uint64)
-        order = np.argsort(c, kind="stable")
-        r, c = r[order], c[order]
-        longest = np.minimum(r["n"].astype(np.uint64) * np.uint64(t.denominator) // np.uint64(t.numerator), _LOW)
-        i = np.arange(len(r))
-        count = np.searchsorted(c, r["k"].astype(np.uint64) << _32 | longest, "right") - i - 1
-        done = np.r_[0, np.cumsum(count)]
-        a = 0
-        while a < len(r):
-            z = max(a + 1, int(np.searchsorted(done, done[a] + SLICE, "right")) - 1)
-            x, y = np.repeat(i[a:z], count[a:z]), multi_range(i[a:z] + 1, count[a:z])
-            several = _several(np.minimum(r["n"][x], r["n"][y]))
-            ok = np.minimum(r["most"][x], r["most"][y]) > setjoin.overlap_needed(r["n"][x], r["n"][y], t) - several
-            same = (r["head"][x] == r["head"][y]) & (r["head2"][x] == r["head2"][y])
-            ok = np.where(same, (r["kind"][x] >= 4) & (r["kind"][y] >= 4), ok)
-            x, y, several, same = x[ok], y[ok], several[ok], same[ok]
-            w = ((r["kind"][x] & 3).astype(np.int64) << 61) | part << 32 | r["k"][x].astype(np.int64)
-            p, q = r["s"][x], r["s"][y]
-            rows = np.stack([np.minimum(p, q).view(np.int64), np.maximum(p, q).view(np.int64), w, several, np.where(same, several, 1)], 1)
-            found.append(_summed(rows))
-            if len(found) > 4:
-                found = [_summed(np.concatenate(found))]
-            a = z
-        rows = _summed(np.concatenate(found)) if found else np.zeros((0, 5), np.int64)
-        del r, found
+        rows = _meet(unblobbed(table, _ROW), table.column("part")[0].as_py(), t)
         give_back()
         return in_batches(pa.table([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(5)], ["a", "b", "w", "several", "have"]))
 
-    of_docs = written(map_chunks(docs, ids, "s long, doc_id long"), "sets")
     pairs = map_gather(docs, keys, parts).groupBy("part").applyInArrow(meet, "a long, b long, w long, several long, have long")
     pairs = pairs.groupBy("a", "b", "several").agg(F.min("w").alias("w"), F.sum("have").alias("have")).where("have >= several")
-    members = written(pairs.select("w", F.explode(F.array("a", "b")).alias("s")).distinct(), "blocks")
-    release(spark)
-    wanted = spark.sparkContext.broadcast(bitmap.of(members, "s"))
+    blocks = written(pairs.select("w", F.explode(F.array("a", "b")).alias("s")).distinct(), "blocks")
+    wanted = spark.sparkContext.broadcast(bitmap.of(blocks, "s"))
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in K.chunks(batch):
-                tokens, offsets = _sets(col(c, "text"), n)
-                s = setjoin.set_hash(tokens, offsets)
-                ok = bitmap.has(wanted.value, s) & (np.diff(offsets) > 0)
-                _, one = np.unique(s, return_index=True)
-                first = np.zeros(len(s), bool)
-                first[one] = True
-                ok &= first
+                tokens, offsets, s = free(c)
+                ok = bitmap.has(wanted.value, s)
                 tokens, offsets = tokens[np.repeat(ok, np.diff(offsets))], np.r_[0, np.cumsum(np.diff(offsets)[ok])]
-                yield pa.record_batch([pa.array(s[ok].view(np.int64)), setjoin.binaries(_in_order(tokens, offsets, hot.value, parts), offsets)], ["s", "tokens"])
+                yield pa.record_batch([pa.array(s[ok].view(np.int64)), setjoin.binaries(_in_order(tokens, offsets, levels.value), offsets)], ["s", "tokens"])
+        give_back()
 
     body = docs.mapInArrow(bodies, "s long, tokens binary").groupBy("s").agg(F.min("tokens").alias("tokens"))
-    blocks = members.join(body, "s").withColumn("part", F.pmod(F.xxhash64("w"), F.lit(parts)).cast("int"))
+    at_block = blocks.join(body, "s").withColumn("part", F.pmod(F.xxhash64("w"), F.lit(parts)).cast("int"))
 
     def walk(table: pa.Table) -> pa.Table:
         w, s = ints(table, "w"), ints(table, "s")
@@ -209,17 +332,72 @@ def similar_sets(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataF
         out = []
         for lo, hi in zip(edges.tolist(), np.r_[edges[1:], len(w)].tolist()):
             rows = order[lo:hi]
-            level, part, k = int(w[rows[0]]) >> 61, int(w[rows[0]]) >> 32 & 0x1FFFFFFF, int(w[rows[0]]) & 0xFFFFFFFF
-            start = np.uint64(0) if level else np.uint64(_least_at(part, k, parts) >> 2)
+            level, part, k = int(w[rows[0]]) >> 60, int(w[rows[0]]) >> 32 & 0xFFFFFFF, int(w[rows[0]]) & 0xFFFFFFFF
+            start = np.uint64(0) if level > 1 else np.uint64((level << 61) | (_least_at(part, k, parts) >> 3))
             whole = [flat[cut[r] : cut[r + 1]] for r in rows]
             for i, j, both in trie.join([x[np.searchsorted(x, start) :] for x in whole], [len(x) for x in whole], t):
                 a, b = (i, j) if s[rows[i]].astype(np.uint64) < s[rows[j]].astype(np.uint64) else (j, i)
                 out.append((s[rows[a]], s[rows[b]], both, len(whole[a]), len(whole[b])))
-        cols = list(zip(*out)) if out else [[]] * 5
-        return pa.table([pa.array(np.array(x, np.int64)) for x in cols], ["a", "b", "common", "na", "nb"])
+        return _table(list(zip(*out)) if out else [[]] * 5, "a long,b long,common long,na long,nb long")
+
+    near = at_block.select("part", "w", "s", "tokens").groupBy("part").applyInArrow(walk, "a long, b long, common long, na long, nb long")
+    near = written(near.groupBy("a", "b", "na", "nb").agg(F.max("common").alias("common")), "near")
+    drop(blocks)
+    return Similar(sets.select("s", "doc_id"), near, members, visits)
+
+
+def _in_balls(docs: DataFrame, sets: DataFrame, n: int, t: Fraction, levels, middle) -> tuple[DataFrame, DataFrame]:
+    """Members and visits of all balls."""
+    spark = docs.sparkSession
+
+    def bodies(c: pa.RecordBatch) -> pa.RecordBatch:
+        tokens, offsets = _sets(col(c, "text"), n)
+        s = setjoin.set_hash(tokens, offsets)
+        one = np.unique(s, return_index=True)[1]
+        ball, (who, where) = middle.value.balls(tokens, offsets)
+        one = one[ball[one] >= 0]
+        first = np.zeros(len(s), bool)
+        first[np.unique(s, return_index=True)[1]] = True
+        who, where = who[first[who]], where[first[who]]
+        row = np.r_[one, who]
+        size = np.diff(offsets)[row]
+        cut = np.r_[0, np.cumsum(size)]
+        o = _in_order(tokens, offsets, levels.value) if len(row) else tokens
+        body = setjoin.binaries(o[multi_range(offsets[:-1][row], size)], cut)
+        return pa.record_batch([pa.array(s[row].view(np.int64)), pa.array(np.r_[ball[one], where].astype(np.int32)), pa.array(np.arange(len(row)) < len(one)), body], ["s", "ball", "member", "tokens"])
+
+    around = written(map_chunks(docs, bodies, "s long, ball int, member boolean, tokens binary"), "balls")
+    members = written(around.where("member").select("s", "ball").distinct(), "members")
+    # blocks of a ball: so many of its members, and so many of those that visit it
+    size = around.groupBy("ball").agg(F.sum(F.col("member").cast("long")).alias("m"), F.sum((~F.col("member")).cast("long")).alias("v")).where("m > 0 AND v > 0")
+    size = F.broadcast(size.select("ball", F.expr(f"cast((m + {MEMBERS - 1}) div {MEMBERS} AS int)").alias("bm"), F.expr(f"cast((v + {VISITORS - 1}) div {VISITORS} AS int)").alias("bv")))
+    docs_of = sets.groupBy("s").agg(F.count(F.lit(1)).alias("docs"))
+    rows = around.join(size, "ball").join(docs_of, "s")
+    own = F.pmod(F.xxhash64("s"), F.when(F.col("member"), F.col("bm")).otherwise(F.col("bv"))).cast("int")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("member"), F.col("bv")).otherwise(F.col("bm")) - 1)))
+    rows = rows.select("ball", F.when(F.col("member"), own).otherwise(F.col("other")).alias("block"), F.when(F.col("member"), F.col("other")).otherwise(own).alias("visit"), "s", "member", "docs", "tokens")
 
-    near = blocks.select("part", "w", "s", "tokens").groupBy("part").applyInArrow(walk, "a long, b long, common long, na long, nb long")
-    return of_docs, near.groupBy("a", "b", "na", "nb").agg(F.max("common").alias("common"))
+    def walk(table: pa.Table) -> pa.Table:
+        s, member, docs_ = ints(table, "s"), col(table, "member").to_numpy(zero_copy_only=False), ints(table, "docs")
+        ball = table.column("ball")[0].as_py()
+        # the most common first: near copies then share long paths
+        flat, cut = setjoin.lists(col(table, "tokens"))
+        whole = [~flat[a:b][::-1] for a, b in zip(cut[:-1], cut[1:])]
+        inside = np.flatnonzero(member)[np.unique(s[member], return_index=True)[1]]
+        visit = np.flatnonzero(~member)[np.unique(s[~member], return_index=True)[1]]
+        got = np.zeros(len(s), np.int64)
+        if len(inside) and len(visit):
+            tree = trie.Trie([whole[i] for i in inside], [len(whole[i]) for i in inside], t)
+            for v in visit:
+                for j, _ in tree.probe(whole[v], len(whole[v])):
+                    got[v] += docs_[inside[j]]
+                    got[inside[j]] += docs_[v]
+        some = np.flatnonzero(got)
+        return _table([s[some], np.where(member[some], -1, ball), got[some]], "s long,ball int,d long")
+
+    visits = written(rows.groupBy("ball", "block", "visit").applyInArrow(walk, "s long, ball int, d long").groupBy("s", "ball").agg(F.sum("d").alias("d")), "visits")
+    drop(around)
+    return members, visits
 
 
 def _least_at(part: int, k: int, parts: int) -> int:
@@ -227,23 +405,39 @@ def _least_at(part: int, k: int, parts: int) -> int:
     return max(0, ((part << 64 | k << 32) // parts) - (1 << 33))
 
 
-def find_similar(docs: DataFrame, n: int = 2, t: Fraction = Fraction(3, 5)) -> DataFrame:
-    """Pairs of documents whose sets of word n-grams have a Jaccard similarity of ``t`` or more: (doc_id, other_id, jaccard).
+def find_classes(docs: DataFrame, n: int = 2, t: Fraction = Fraction(3, 5)) -> DataFrame:
+    """(doc_id, class_id, n_links) for each document that is similar to another: their sets of word n-grams have a Jaccard similarity of ``t`` or more.
 
-    Documents of one set are tied to the least doc_id among them, at 1.0; pairs
-    of different sets are given between those least ones.  So every similar pair
-    follows from the rows, while a group of m copies takes m - 1 rows.
-    Rows without id, text or a word are in no pair; a text of fewer than n words
-    has one n-gram, all of its words; repeated rows of an id count once.
+    n_links is the number of documents that it is similar to.  A class is all
+    documents that such links connect, class_id the least doc_id among them.  A
+    document without a link is alone in its class and has no row.  Rows without
+    id, text or a word are linked to nothing; a text of fewer than n words has
+    one n-gram, all of its words; texts of any length are taken whole; repeated
+    rows of an id and set are one, and an id with texts of different sets is
+    several documents, a row each.  An empty table has an empty result.
     """
-    sets, near = similar_sets(docs, n, t)
-    least = sets.groupBy("s").agg(F.min("doc_id").alias("first"))
-    same = sets.join(least, "s").where("doc_id <> first").select(F.col("first").alias("doc_id"), F.col("doc_id").alias("other_id"), F.lit(1.0).alias("jaccard")).distinct()
-    x, y = least.select(F.col("s").alias("a"), F.col("first").alias("fa")), least.select(F.col("s").alias("b"), F.col("first").alias("fb"))
-    j = near.join(x, "a").join(y, "b").select(
-        F.least("fa", "fb").alias("doc_id"), F.greatest("fa", "fb").alias("other_id"), (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("jaccard")
+    x = similar_sets(docs, n, t)
+    one = written(x.sets.groupBy("s").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("docs")).join(x.members, "s", "left"), "one-of-each-set")
+    # links that are known pair by pair, from visits, and within the balls
+    docs_of = one.select("s", "docs")
+    both = x.pairs.select(F.col("a").alias("s"), F.col("b").alias("o")).unionByName(x.pairs.select(F.col("b").alias("s"), F.col("a").alias("o")))
+    known = both.join(docs_of.withColumnRenamed("s", "o"), "o").select("s", F.col("docs").alias("d")).unionByName(x.visits.select("s", "d")).groupBy("s").agg(F.sum("d").alias("d"))
+    # a ball is one vertex, of a number below 0 that no other has: classes never go through all of its members
+    vertex = F.when(F.col("ball") >= 0, -1 - F.col("ball").cast("long")).otherwise(F.col("s"))
+    visiting = x.visits.where("ball >= 0").join(x.members.withColumnRenamed("ball", "own"), "s", "left")
+    edges = x.pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("other_id")).unionByName(
+        visiting.select(F.when(F.col("own").isNotNull(), -1 - F.col("own").cast("long")).otherwise(F.col("s")).alias("doc_id"), (-1 - F.col("ball").cast("long")).alias("other_id"))
     )
-    return same.unionByName(j.where("doc_id <> other_id"))
+    label = groups(edges)
+    of_vertex = one.groupBy(vertex.alias("v")).agg(F.min("first").alias("first"), F.sum("docs").alias("docs"))
+    of_class = written(of_vertex.join(label.select(F.col("doc_id").alias("v"), F.col("first").alias("l")), "v", "left").withColumn("l", F.coalesce("l", "v")), "vertices")
+    least = of_class.groupBy("l").agg(F.min("first").alias("class_id"))
+    named = of_class.join(least, "l").select("v", "class_id", F.col("docs").alias("ball_docs"))
+    balls = F.broadcast(named.where(F.col("v").between(-MOST_CENTRES, -1)).select((-1 - F.col("v")).cast("int").alias("ball"), "class_id", "ball_docs"))
+    within = one.where("ball IS NOT NULL").join(balls, "ball").select("s", "class_id", (F.col("ball_docs") - 1).alias("own"))
+    alone = one.where("ball IS NULL").join(named.withColumnRenamed("v", "s"), "s").select("s", "class_id", (F.col("docs") - 1).alias("own"))
+    of_set = within.unionByName(alone).join(known, "s", "left").select("s", "class_id", (F.col("own") + F.coalesce("d", F.lit(0))).alias("n_links")).where("n_links > 0")
+    return x.sets.join(of_set, "s").select("doc_id", "class_id", "n_links")
 
 
 def groups(pairs: DataFrame) -> DataFrame:
@@ -254,18 +448,32 @@ def groups(pairs: DataFrame) -> DataFrame:
     written table.
     """
     edges = written(pairs.select(F.col("doc_id").alias("u"), F.col("other_id").alias("v")).unionByName(pairs.select(F.col("other_id").alias("u"), F.col("doc_id").alias("v"))).distinct(), "edges")
-    label = written(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")), "labels")
+    label = written(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")).withColumn("changed", F.lit(True)), "labels")
     while True:
         around = edges.join(label.select(F.col("u").alias("v"), F.col("l").alias("m")), "v").groupBy("u").agg(F.min("m").alias("m"))
         low = label.join(around, "u").select("u", "l", F.least("l", "m").alias("m"))
         jump = low.join(label.select(F.col("u").alias("m"), F.col("l").alias("ll")), "m", "left")
         new = written(jump.select("u", F.least("m", F.coalesce("ll", "m")).alias("l"), (F.least("m", F.coalesce("ll", "m")) != F.col("l")).alias("changed")), "labels")
-        label = new.select("u", "l")
+        drop(label)
+        label = new
         if not new.where("changed").limit(1).count():
+            drop(edges)
             return label.select(F.col("u").alias("doc_id"), F.col("l").alias("first"))
 
 
 def one_of_each(docs: DataFrame, n: int = 2, t: Fraction = Fraction(3, 5)) -> DataFrame:
-    """``docs`` with one document of each group of similar ones, that of least id; rows that repeat id and text are one."""
-    gone = groups(find_similar(docs, n, t)).where("doc_id <> first").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").dropDuplicates(["doc_id", "text"])
+    """``docs`` with one document of each class of similar ones, that of least id; rows that repeat an id and its text are one, the first by all columns.
+
+    Rows without id, text or a word are in no class and stay; of an id whose
+    texts are of different classes all rows go if one of them isn't the first of
+    its class.  Texts of any length are taken whole; an empty table stays empty;
+    all columns come back, whatever their names.
+    """
+    gone = find_classes(docs, n, t).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    # only rows whose id comes again are shuffled with their texts
+    again = docs.groupBy(docs["doc_id"].alias("_again")).count().where("_again IS NOT NULL AND count > 1").select("_again")
+    once = left.join(again, left["doc_id"] == again["_again"], "left_anti")
+    more = left.join(again, left["doc_id"] == again["_again"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(*(more[c] for c in docs.columns)))
+    return once.unionByName(more.select(*(more[c] for c in docs.columns), first.alias("_row")).where("_row = 1").drop("_row"))

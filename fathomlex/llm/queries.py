@@ -60,21 +60,24 @@ SELECT doc_id, coalesce(text, '') AS text, n_removed FROM kept
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngramjoin.find_similar(table(spark, sf_dir, "documents"))
+    return ngramjoin.find_classes(table(spark, sf_dir, "documents"))
 
 
 QUERIES["op1_ngram_jaccard_join"] = op1_ngram_jaccard_join
 ORACLE["op1_ngram_jaccard_join"] = rf"""
-WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS g FROM w WHERE len(w) > 0),
-sets AS (SELECT g, min(doc_id) AS lead, len(g) AS n FROM g GROUP BY g),
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS g FROM w WHERE len(w) > 0),
+sets AS (SELECT g, min(doc_id) AS lead, count(*) AS docs, len(g) AS n, row_number() OVER () AS s FROM g GROUP BY g),
 df AS (SELECT t, count(*) AS c FROM (SELECT unnest(g) AS t FROM sets) GROUP BY t),
-ranked AS (SELECT lead, n, t, row_number() OVER (PARTITION BY lead ORDER BY c, t) AS r FROM (SELECT lead, n, unnest(g) AS t FROM sets) JOIN df USING (t)),
-prefix AS (SELECT lead, n, t FROM ranked WHERE r <= n - (3 * n + 4) // 5 + 1),
-cand AS (SELECT DISTINCT a.lead AS a, b.lead AS b FROM prefix a JOIN prefix b ON a.t = b.t AND a.lead < b.lead AND 5 * a.n >= 3 * b.n AND 5 * b.n >= 3 * a.n),
-j AS (SELECT a, b, len(list_intersect(x.g, y.g)) AS i, x.n + y.n AS s FROM cand JOIN sets x ON x.lead = a JOIN sets y ON y.lead = b)
-SELECT s.lead AS doc_id, g.doc_id AS other_id, CAST(1.0 AS DOUBLE) AS jaccard FROM g JOIN sets s USING (g) WHERE g.doc_id <> s.lead
-UNION ALL SELECT a, b, CAST(i AS DOUBLE) / (s - i) FROM j WHERE 5 * i >= 3 * (s - i)
+ranked AS (SELECT s, n, t, row_number() OVER (PARTITION BY s ORDER BY c, t) AS r FROM (SELECT s, n, unnest(g) AS t FROM sets) JOIN df USING (t)),
+prefix AS (SELECT s, n, t FROM ranked WHERE r <= n - (3 * n + 4) // 5 + 1),
+cand AS (SELECT DISTINCT a.s AS a, b.s AS b FROM prefix a JOIN prefix b ON a.t = b.t AND a.s < b.s AND 5 * a.n >= 3 * b.n AND 5 * b.n >= 3 * a.n),
+j AS (SELECT a, b FROM (SELECT a, b, len(list_intersect(x.g, y.g)) AS i, x.n + y.n AS m FROM cand JOIN sets x ON x.s = a JOIN sets y ON y.s = b) WHERE 5 * i >= 3 * (m - i)),
+edge AS (SELECT a, b FROM j UNION ALL SELECT b, a FROM j),
+reach AS (SELECT s AS a, s AS b FROM sets UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
+class AS (SELECT reach.a AS s, min(lead) AS class_id FROM reach JOIN sets ON sets.s = reach.b GROUP BY reach.a),
+links AS (SELECT x.s, x.docs - 1 + coalesce(sum(y.docs), 0) AS n_links FROM sets x LEFT JOIN edge ON edge.a = x.s LEFT JOIN sets y ON y.s = edge.b GROUP BY x.s, x.docs)
+SELECT doc_id, class_id, CAST(n_links AS BIGINT) AS n_links FROM g JOIN sets USING (g) JOIN class USING (s) JOIN links USING (s) WHERE n_links > 0
 """
 
 

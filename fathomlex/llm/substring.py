@@ -120,8 +120,8 @@ def ingest(index: Index, batch_id: str, batch: DataFrame, history: DataFrame) ->
     document, never as a repeat of each other.
     """
     spark = batch.sparkSession
-    parts = n_parts(spark)
     batch, history = documents(batch), documents(history)
+    parts = n_parts(history.unionByName(batch))
     new = written(map_chunks(batch, _prints, "fp long, doc_id long").distinct(), "prints")
     m = index.manifest()
     if batch_id in m["batches"]:

@@ -58,24 +58,96 @@ def random_docs(seed, n=120):
     return out
 
 
+def classes(d, n=2):
+    """(doc_id, class_id, n_links) by comparing all pairs."""
+    sets = [(i, s) for i, s in sorted({(i, grams(t, n)) for i, t in d}, key=lambda x: x[0]) if s]
+    links = [[j for j, (_, b) in enumerate(sets) if j != k and 5 * len(a & b) >= 3 * len(a | b)] for k, (_, a) in enumerate(sets)]
+    label = list(range(len(sets)))
+    for k in range(len(sets)):  # sets are in the order of their ids: a class is reached from its least one first
+        todo = [k]
+        while todo:
+            x = todo.pop()
+            for j in links[x]:
+                if label[j] > label[k]:
+                    label[j] = label[k]
+                    todo.append(j)
+    return sorted((i, sets[label[k]][0], len(links[k])) for k, (i, _) in enumerate(sets) if links[k])
+
+
+def family(rnd, first, m, size, edits):
+    """Near copies of one text, some far from it, and some of those alone like others."""
+    base = [f"f{rnd.randrange(3000)}" for _ in range(size)]
+    out = []
+    for i in range(m):
+        w = list(base)
+        for _ in range(rnd.randrange(edits)):
+            w[rnd.randrange(size)] = f"e{rnd.randrange(99999)}"
+        out.append((first + i, " ".join(w)))
+    return out
+
+
 @pytest.mark.parametrize("seed", [1, 2])
-def test_1_pairs_against_brute_force(spark, seed):
+@pytest.mark.parametrize("large", [64, 3])
+def test_1_classes_against_brute_force(spark, seed, large, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "LARGE", large)
     d = random_docs(seed)
-    sets = {i: grams(t) for i, t in d}
-    least = {}
-    for i, s in sets.items():
-        least.setdefault(s, i)
-    want = sorted([(least[s], i, 1.0) for i, s in sets.items() if least[s] != i] + [(min(i, j), max(i, j), len(a & b) / len(a | b)) for a, i in least.items() for b, j in least.items() if i < j and 5 * len(a & b) >= 3 * len(a | b)])
-    found = got(ngramjoin.find_similar(spark.createDataFrame(d, "doc_id long, text string")))
-    assert [(a, b, pytest.approx(j)) for a, b, j in want] == found
+    assert got(ngramjoin.find_classes(spark.createDataFrame(d, "doc_id long, text string"))) == classes(d)
+
+
+@pytest.mark.parametrize("large", [64, 10])
+def test_1_families_against_brute_force(spark, large, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "LARGE", large)
+    monkeypatch.setattr(ngramjoin, "MEMBERS", 40)
+    monkeypatch.setattr(ngramjoin, "VISITORS", 7)
+    monkeypatch.setattr(ngramjoin, "FAMILY", 1)
+    rnd = random.Random(23)
+    d = [*family(rnd, 0, 150, 60, 16), *family(rnd, 200, 90, 40, 3), *family(rnd, 300, 12, 30, 6)]
+    # a second family that lies a little way from the first, and copies
+    mid = d[0][1].split()
+    for i in range(60):
+        w = [*mid[:48], *(f"g{k}" for k in range(12))]
+        for _ in range(rnd.randrange(4)):
+            w[rnd.randrange(60)] = f"e{rnd.randrange(99999)}"
+        d.append((400 + i, " ".join(w)))
+    d += [(500 + i, d[i][1]) for i in range(30)]
+    df = spark.createDataFrame(d, "doc_id long, text string")
+    assert got(ngramjoin.find_classes(df)) == classes(d)
+    if large == 10:
+        x = ngramjoin.similar_sets(df, 2, Fraction(3, 5))
+        assert x.members.count() > 100 and x.visits.count() > 0
+
+
+def test_1_balls_are_exact():
+    rnd = random.Random(29)
+    t = Fraction(3, 5)
+    d = [np.array(sorted(rnd.sample(range(80), rnd.randrange(1, 60))), np.uint64) for _ in range(300)]
+    near = [np.array(sorted({*d[i % 20].tolist()} ^ {*rnd.sample(range(80), rnd.randrange(12))}), np.uint64) for i in range(200)]
+    c = ngramjoin.centres.build(d[:20], t)
+    every = [x for x in d + near if len(x)]
+    flat, cut = np.concatenate(every), np.r_[0, np.cumsum([len(x) for x in every])]
+    s, k, both = c.near(flat, cut)
+    kept = []
+    for x in d[:20]:
+        if not any(2 * len(np.intersect1d(x, y)) >= len(np.union1d(x, y)) for y in kept):
+            kept.append(x)
+    want = [(i, j, len(np.intersect1d(x, y))) for i, x in enumerate(every) for j, y in enumerate(kept) if 5 * len(np.intersect1d(x, y)) >= 2 * len(np.union1d(x, y))]
+    assert list(zip(s.tolist(), k.tolist(), both.tolist())) == want
+    ball, _ = c.balls(flat, cut)
+    for i, b in enumerate(ball):
+        close = [len(np.intersect1d(every[i], y)) / len(np.union1d(every[i], y)) for y in kept]
+        assert (b >= 0) == (max(close) >= 0.8) and (b < 0 or close[b] == max(close))
 
 
 def test_1_edges(spark):
-    assert got(ngramjoin.find_similar(empty(spark))) == []
-    assert got(ngramjoin.find_similar(docs(spark))) == [(1, 2, 1.0), (1, 8, 0.8)]
+    assert got(ngramjoin.find_classes(empty(spark))) == []
+    assert got(ngramjoin.find_classes(docs(spark))) == [(1, 1, 2), (2, 1, 2), (8, 1, 2)]
+    twice = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (1, "x y z w"), (9, "x y z w"), (9, "x y z w")], "doc_id long, text string")
+    assert got(ngramjoin.find_classes(twice)) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (9, 1, 1)]
     left = ngramjoin.one_of_each(docs(spark))
     assert left.columns == docs(spark).columns
-    assert sorted(r["doc_id"] for r in left.collect() if r["doc_id"] is not None) == [1, 3, 4, 5, 6, 7]
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "3", "4", "5", "6", "7", "None"]
+    odd = spark.createDataFrame([(None, "x y"), (None, "x y"), (4, None), (4, None), (5, "q r"), (5, "q r")], "doc_id long, text string")
+    assert sorted(map(str, ([r["doc_id"] for r in ngramjoin.one_of_each(odd).collect()]))) == ["4", "5", "None", "None"]
 
 
 def test_1_groups(spark):
