@@ -34,7 +34,7 @@ COMMON = (2, 4, 32, 256, 2048, 16384, 131072)
 #: Level of n-grams that can be the lead of a large family.
 FAMILY = 3
 #: Different sets that make a family large, and how many of them are looked at to find its centre, about.
-LARGE, SAMPLE = 64, 24
+LARGE, SAMPLE = 32, 24
 #: Bounds of what is broadcast: centres, their n-grams, and bits that tell the levels. The largest families come first; smaller ones just meet at keys.
 MOST_CENTRES, MOST_TOKENS, MOST_BITS = 2048, 1 << 20, 1 << 28
 #: Members and visitors of a ball in one trie.
@@ -42,7 +42,7 @@ MEMBERS, VISITORS = 512, 2048
 #: Pairs of one block that are looked at together.
 SLICE = 1 << 18
 _KEY = np.dtype("<u4")
-#: A key of a set: its place in the part, its level plus 8 if it is the set's lead, the set, its size, its n-grams from the key on, and 48 bits of the lead.
+#: A key of a set: its place in the part, its level plus 8 if it is the set's lead, the set, its size, its n-grams from the key on, and 48 bits that stand for the lead and the n-gram after it.
 _ROW = np.dtype([("k", "<u4"), ("kind", "u1"), ("s", "<u8"), ("n", "<u4"), ("most", "<u4"), ("head", "<u4"), ("head2", "<u2")])
 _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
@@ -149,6 +149,13 @@ def _at_level(o: np.ndarray, offsets: np.ndarray, level: int) -> np.ndarray:
     return below[offsets[1:]] - below[offsets[:-1]]
 
 
+def _head(o: np.ndarray, offsets: np.ndarray, lead: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """A hash of the lead and the n-gram after it, of ``some`` of the sets: unlike texts that share one rarely share both."""
+    at = lead[some]
+    after = np.minimum(at + 1, offsets[1:][some] - 1)
+    return K.mix(o[at] * np.uint64(0x9E3779B97F4A7C15) + K.mix(o[after]))
+
+
 def _summed(rows: np.ndarray) -> np.ndarray:
     """Rows (a, b, w, several, have) with one row a pair: the least w and all of have."""
     if not len(rows):
@@ -177,7 +184,8 @@ def _keys(o: np.ndarray, offsets: np.ndarray, sets: np.ndarray, parts: int, t: F
     part, out["k"], level = _where(o[at], parts)
     out["s"], out["n"], out["most"] = sets[own], size[own], offsets[1:][own] - at
     out["kind"] = level + 8 * (at == lead[own])
-    head = o[lead[own]]
+    head = _head(o, offsets, lead, size > 0)
+    head = np.repeat(head, np.bincount(own, minlength=len(size))[size > 0])
     out["head"], out["head2"] = head >> _32, (head >> np.uint64(16)) & np.uint64(0xFFFF)
     return part, out
 
@@ -185,8 +193,8 @@ def _keys(o: np.ndarray, offsets: np.ndarray, sets: np.ndarray, parts: int, t: F
 def _meet(r: np.ndarray, part: int, t: Fraction) -> np.ndarray:
     """Pairs of sets that share a key, each with the key as (level, part, place): a number that ascends with the global order.
 
-    Sets of the same lead - near copies mostly - are a pair there and nowhere
-    else; others must meet at several keys.
+    Sets of the same lead and n-gram after it - near copies mostly - are a pair
+    there and nowhere else; others must meet at several keys.
     """
     found = []
     r = r[np.lexsort((255 - r["kind"], r["s"], r["k"]))]
@@ -280,7 +288,7 @@ def similar_sets(docs: DataFrame, n: int, t: Fraction) -> Similar:
         below = _at_level(o, offsets, FAMILY)
         lead = np.zeros(len(below), np.uint64)
         has = below < np.diff(offsets)
-        lead[has] = o[offsets[:-1][has] + below[has]]
+        lead[has] = _head(o, offsets, offsets[:-1] + below, has)
         return pa.record_batch([pa.array(setjoin.set_hash(tokens, offsets)[some].view(np.int64)), pa.array(ints(c, "doc_id")[some], pa.int64()), pa.array(lead[some].view(np.int64))], ["s", "doc_id", "lead"])
 
     sets = written(map_chunks(docs, ids, "s long, doc_id long, lead long").distinct(), "sets")
