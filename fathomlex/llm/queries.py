@@ -133,6 +133,15 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op9_sentencepiece"] = op9_sentencepiece
 
 
+def sentencepiece_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the ids of all documents spell."""
+    return pieces.decode(pieces.encode(table(spark, sf_dir, "documents")))
+
+
+QUERIES["sentencepiece_decode"] = sentencepiece_decode
+ORACLE["sentencepiece_decode"] = "SELECT doc_id, text FROM documents"
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.totals(table(spark, sf_dir, "documents"))
 
