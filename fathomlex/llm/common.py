@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -214,6 +214,12 @@ def documents(df: DataFrame, columns: Sequence[str] = ("doc_id", "text")) -> Dat
     return df.select(*columns).where(F.col(columns[0]).isNotNull() & F.col("text").isNotNull())
 
 
+def row_key(docs: DataFrame) -> Column:
+    """The id of a row that has a text; if that is null, a number beyond all usual ids that stands for the text."""
+    of_text = F.xxhash64(docs["text"]).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    return F.when(docs["text"].isNotNull(), F.coalesce(docs["doc_id"].cast("long"), of_text))
+
+
 def multi_range(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """start[0] .. start[0]+count[0]-1, start[1] .. and so on, end to end."""
     count = count.astype(np.int64)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import col, documents, ints, map_chunks, multi_range
+from .common import col, documents, ints, map_chunks, multi_range, row_key
 
 SCHEMA = "doc_id long, item_id long, doc_word int, item_word int, n_words int"
 #: Bytes of benchmark text that are broadcast; beyond them the fingerprints are joined by a shuffle.
@@ -134,6 +134,11 @@ def _joined(docs: DataFrame, benchmark: DataFrame, k: int, w: int, least: int) -
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, w: int = 4) -> DataFrame:
-    """``docs`` without the documents that ``find_leaks`` names; those without id or text stay, as nothing is found in them."""
-    bad = find_leaks(docs, benchmark, k, w).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_leak"], "left_anti")
+    """``docs`` without the documents in which ``find_leaks`` finds something, with all their columns, whatever their names.
+
+    A row without id is known by its text; rows without text stay; all rows of
+    an id go if one of its texts does; an empty table stays empty.
+    """
+    key = row_key(docs)
+    bad = find_leaks(docs.select(key.alias("doc_id"), "text"), benchmark, k, w).select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.join(bad, key == bad["_leak"], "left_anti")

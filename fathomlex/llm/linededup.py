@@ -14,12 +14,12 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmap, rarity, setjoin
 from . import kernels as K
-from .common import col, documents, give_back, ints, map_chunks, map_gather, n_parts, reduce_parts, spread, written
+from .common import col, documents, give_back, ints, map_gather, n_parts, reduce_parts, row_key, spread, written
 
 #: A word counted at most this often in the corpus is rare enough to be a key of its own.
 RARE = 128
@@ -69,12 +69,13 @@ def _scan(docs: DataFrame, least: int) -> DataFrame:
     return docs.mapInArrow(run, "part int, blob binary, s long, doc_id long, h long, line int")
 
 
-def find_repeats(docs: DataFrame, t: Fraction = Fraction(9, 10), least: int = 3) -> DataFrame:
+def find_repeats(docs: DataFrame, t: Fraction = Fraction(9, 10), least: int = 1) -> DataFrame:
     """The lines that go, as (doc_id, h, line): h is xxhash64 of the text, line counts from 0.
 
-    Rows without id or text have no lines.  Lines of fewer than ``least``
-    distinct words are never compared and stay; with 1, every line that has a
-    word is.  Rows that agree in id and text are one document.
+    Rows without id or text have no lines.  Every line that has a word is
+    compared, of any length; with a greater ``least``, lines of fewer distinct
+    words stay.  Rows that agree in id and text are one document; an empty table
+    has no lines.
     """
     spark = docs.sparkSession
     docs = documents(docs).withColumn("h", F.xxhash64("text"))
@@ -137,30 +138,48 @@ def find_repeats(docs: DataFrame, t: Fraction = Fraction(9, 10), least: int = 3)
     return gone.where(~is_first | F.col("late").isNotNull()).select("doc_id", "h", "line").distinct()
 
 
-def dedup_lines(docs: DataFrame, t: Fraction = Fraction(9, 10), least: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, t: Fraction = Fraction(9, 10), least: int = 1) -> DataFrame:
     """``docs`` with the repeated lines of ``find_repeats`` taken out of text; (doc_id, text, n_removed).
 
     Every row of docs comes back, also those without id or text, which are left
     as they are; a document all of whose lines go keeps an empty text.  The
-    other lines stay as they are, joined by line breaks.
+    other lines stay as they are, joined by line breaks; an empty table stays
+    empty.
     """
-    gone = find_repeats(docs, t, least).groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list("line").alias("_gone"))
+    gone = _gone(docs, t, least)
     d = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text"))
     j = d.join(gone, (F.col("doc_id") == F.col("_d")) & (F.col("h") == F.col("_h")), "left")
-    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    return j.select("doc_id", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
+    left = _left(F.col("text"), F.col("_gone"))
+    return j.select("doc_id", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left).alias("text"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
+
+
+def _left(text: Column, gone: Column) -> Column:
+    """The text without the lines of some ascending numbers: of its lines, what lies between one number and the next."""
+    parts = F.split(text, "\n", -1)
+    after = F.concat(F.array(F.lit(-1)), gone)
+    until = F.concat(gone, F.array(F.size(parts)))
+    return F.array_join(F.flatten(F.zip_with(after, until, lambda a, b: F.slice(parts, a + 2, b - a - 1))), "\n")
+
+
+def _gone(docs: DataFrame, t: Fraction, least: int) -> DataFrame:
+    """(_d, _h, _gone): the numbers of the lines that go of each document, in order."""
+    lines = F.array_sort(F.collect_list("line"))
+    return find_repeats(docs, t, least).groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(lines.alias("_gone"))
 
 
 def without_repeats(docs: DataFrame, t: Fraction = Fraction(9, 10), least: int = 1) -> DataFrame:
-    """``docs`` with all their columns and the texts of ``dedup_lines``, every line that has a word compared; n_chars, if there is one, is counted again.
+    """``docs`` with all their columns and the texts of ``dedup_lines``; n_chars, if there is one, is counted again.
 
     Rows whose text had words and has none left are dropped; all others come
-    back, also those without id or text.
+    back, also those without text.  A row without id is known by its text and
+    comes after all that have one; repeated rows are one document and stay or
+    go together; texts of any length are taken whole; an empty table stays
+    empty.
     """
-    gone = find_repeats(docs, t, least).groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list("line").alias("_gone"))
-    j = docs.join(gone, (docs["doc_id"] == gone["_d"]) & (F.xxhash64(docs["text"]) == gone["_h"]), "left")
-    left = F.array_join(F.filter(F.split(docs["text"], "\n", -1), lambda x, i: ~F.array_contains(gone["_gone"], i)), "\n")
-    text = F.when(gone["_gone"].isNull(), docs["text"]).otherwise(left)
+    key = row_key(docs)
+    gone = _gone(docs.select(key.alias("doc_id"), "text"), t, least)
+    j = docs.join(gone, (key == gone["_d"]) & (F.xxhash64(docs["text"]) == gone["_h"]), "left")
+    text = F.when(gone["_gone"].isNull(), docs["text"]).otherwise(_left(docs["text"], gone["_gone"]))
     j = j.where(gone["_gone"].isNull() | text.rlike(r"[A-Za-z0-9\x{80}-\x{10FFFF}]"))
     chars = F.length(text).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
     return j.select(*(text.alias("text") if c == "text" else chars.alias(c) if c == "n_chars" else docs[c] for c in docs.columns))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import bitmap, centres, setjoin, trie
 from . import kernels as K
-from .common import col, documents, drop, give_back, in_batches, ints, map_chunks, map_gather, multi_range, n_parts, pa_schema, unblobbed, written
+from .common import col, documents, drop, give_back, in_batches, ints, map_chunks, map_gather, multi_range, n_parts, pa_schema, row_key, unblobbed, written
 
 #: n-grams of so many documents and more make a level of the global order each; level 0 is n-grams of one document.
 COMMON = (2, 4, 32, 256, 2048, 16384, 131072)
@@ -472,16 +472,18 @@ def groups(pairs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, n: int = 2, t: Fraction = Fraction(3, 5)) -> DataFrame:
     """``docs`` with one document of each class of similar ones, that of least id; rows that repeat an id and its text are one, the first by all columns.
 
-    Rows without id, text or a word are in no class and stay; of an id whose
-    texts are of different classes all rows go if one of them isn't the first of
-    its class.  Texts of any length are taken whole; an empty table stays empty;
-    all columns come back, whatever their names.
+    A row without id is known by its text and comes after all that have one.
+    Rows without text stay, each of them.  Of an id whose texts are of different
+    classes all rows go if one of them isn't the first of its class.  Texts of
+    any length are taken whole; an empty table stays empty; all columns come
+    back, whatever their names.
     """
-    gone = find_classes(docs, n, t).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    key = row_key(docs)
+    gone = find_classes(docs.select(key.alias("doc_id"), "text"), n, t).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, key == gone["_gone"], "left_anti")
     # only rows whose id comes again are shuffled with their texts
-    again = docs.groupBy(docs["doc_id"].alias("_again")).count().where("_again IS NOT NULL AND count > 1").select("_again")
-    once = left.join(again, left["doc_id"] == again["_again"], "left_anti")
-    more = left.join(again, left["doc_id"] == again["_again"], "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(*(more[c] for c in docs.columns)))
+    again = docs.groupBy(key.alias("_again")).count().where("_again IS NOT NULL AND count > 1").select("_again")
+    once = left.join(again, key == again["_again"], "left_anti")
+    more = left.join(again, key == again["_again"], "left_semi")
+    first = F.row_number().over(Window.partitionBy(key, more["text"]).orderBy(*(more[c] for c in docs.columns)))
     return once.unionByName(more.select(*(more[c] for c in docs.columns), first.alias("_row")).where("_row = 1").drop("_row"))

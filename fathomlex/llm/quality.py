@@ -178,7 +178,7 @@ class Model:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Both models: votes are counted over all documents, the scorer learns from ``sample`` of them at most, spread evenly by a hash of the id."""
+    """Both models: votes are counted over all documents, the scorer learns from ``sample`` rows at most, those of least hash of id and text."""
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text").where(F.col("text").isNotNull())
 
@@ -202,13 +202,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         cut = np.searchsorted(key // (BUCKETS + 1), np.arange(c.num_rows + 1))
         b = (key % (BUCKETS + 1)).astype(np.int32)
         return pa.record_batch(
-            [pa.array([b[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary()), pa.array([value[i:j].astype(np.float32).tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary()), pa.array(weak.posterior(votes(stats.measure(texts, x))))],
-            ["b", "v", "p"],
+            [col(c, "key").cast(pa.int64()), pa.array([b[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary()), pa.array([value[i:j].astype(np.float32).tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary()), pa.array(weak.posterior(votes(stats.measure(texts, x))))],
+            ["key", "b", "v", "p"],
         )
 
-    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    taken = map_chunks(some, labelled, "b binary, v binary, p double").limit(2 * sample).collect()
-    return Model(weak, train([(np.frombuffer(r[0], np.int32), np.frombuffer(r[1], np.float32), r[2]) for r in taken]))
+    # about sample + 4 of its square roots are looked at, so that hardly ever fewer than sample are there to take
+    room = min(1.0, share * (1 + 4 / max(sample, 1) ** 0.5))
+    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    some = docs.select(key.alias("key"), "text").where(F.col("key") < F.lit(int(room * (1 << 30))))
+    taken = map_chunks(some, labelled, "key long, b binary, v binary, p double").orderBy("key", "b", "v").limit(sample).collect()
+    return Model(weak, train([(np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.float32), r[3]) for r in taken]))
 
 
 def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -217,7 +220,8 @@ def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     p_junk: what the labellers' votes say; score: the scorer's probability of a
     good document; keep: score of one half or more.  A row without text has
     nulls and is not kept, nor is a text without a word; rows without id are
-    judged like all others; an empty table gives no rows.
+    judged like all others; repeated rows are judged alike, each of them; texts
+    of any length are judged whole; an empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
 
@@ -234,7 +238,12 @@ def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``docs`` without the rows that ``classify`` rejects, with all their columns."""
+    """``docs`` without the rows that ``classify`` rejects, with all their columns, whatever their names.
+
+    Rows without text and texts without a word go; rows without id are judged
+    like all others; repeated rows stay or go together; an empty table stays
+    empty.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

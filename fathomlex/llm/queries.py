@@ -44,7 +44,7 @@ ORACLE["op10_line_dedup"] = rf"""
 WITH line AS (SELECT doc_id, text, i - 1 AS line, parts[i] AS s FROM (
     SELECT doc_id, text, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL))),
 tok AS (SELECT doc_id, line, list_sort(list_distinct({_WORDS.replace("text", "s")})) AS w FROM line),
-occ AS (SELECT doc_id, line, w, (doc_id, line) AS pos FROM tok WHERE len(w) >= 3),
+occ AS (SELECT doc_id, line, w, (doc_id, line) AS pos FROM tok WHERE len(w) >= 1),
 sets AS (SELECT w, min(pos) AS lead, len(w) AS n, row_number() OVER () AS s FROM occ GROUP BY w),
 df AS (SELECT t, count(*) AS c FROM (SELECT unnest(w) AS t FROM sets) GROUP BY t),
 ranked AS (SELECT s, n, t, row_number() OVER (PARTITION BY s ORDER BY c, t) AS r FROM (SELECT s, n, unnest(w) AS t FROM sets) JOIN df USING (t)),

@@ -21,8 +21,6 @@ from .common import col, map_chunks
 #: Labelled documents that the rules learn from, at most: the only bound here.
 SAMPLE = 20_000
 CUTS = 48
-MOST_CONDITIONS = 4
-MOST_RULES = 24
 
 
 @dataclass(frozen=True)
@@ -65,7 +63,7 @@ def _grow(x: np.ndarray, bad: np.ndarray) -> list[tuple[int, str, float]]:
     """Add the condition with the greatest information gain, until none gains or only bad rows are left."""
     conditions: list[tuple[int, str, float]] = []
     here = np.ones(len(x), bool)
-    while len(conditions) < MOST_CONDITIONS:
+    while True:
         p, n = bad[here].sum(), (~bad[here]).sum()
         if not p or not n:
             break
@@ -95,7 +93,7 @@ def learn(x: np.ndarray, bad: np.ndarray, least_right: float = 0.9, least_cover:
     grow = np.arange(len(x)) % 3 < 2
     left = np.ones(len(x), bool)
     out: list[Rule] = []
-    while len(out) < MOST_RULES and bad[left].any():
+    while bad[left].any():  # each rule takes least_cover rows or ends the list
         conditions = _grow(x[left & grow], bad[left & grow])
         px, pb = x[left & ~grow], bad[left & ~grow]
         while len(conditions) > 1 and _worth(px, pb, conditions[:-1]) >= _worth(px, pb, conditions):
@@ -122,12 +120,14 @@ def expression(rules: list[Rule]) -> tuple[Column, Column]:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     """Rules from the labelled documents (labels: doc_id, quality, 0 for bad), ``sample`` of them at most, those of least hash of the id.
 
-    Labels without id or quality, and ids that are labelled twice in two ways, are left out.
+    Labels without id or quality, and ids that are labelled twice in two ways,
+    are left out.  Of an id with several texts, the one of the least statistics
+    is learned from, so ``sample`` also bounds the rows.
     """
     lab = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
     lab = lab.where("quality = other").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = measured(docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(lab.select("doc_id")), "doc_id", "left_semi")).join(lab, "doc_id").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+    rows = measured(docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(lab.select("doc_id")), "doc_id", "left_semi"))
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(*stats.NAMES)).alias("x")).select("doc_id", "x.*").join(lab, "doc_id").toPandas().sort_values("doc_id")
     return learn(rows[list(stats.NAMES)].to_numpy(), rows["quality"].to_numpy() == 0)
 
 
@@ -135,7 +135,9 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     """(doc_id, decision, rule) for every row of ``docs``: 'reject' and the number of the first rule that holds, else 'keep' and 0.
 
     A row without text is 'reject' with rule -1; an empty text has statistics
-    of 0 and is judged by them; without labels all is kept.
+    of 0 and is judged by them; texts of any length are measured whole; rows
+    without id and repeated rows are judged like all others; without labels all
+    that has a text is kept; an empty table gives no rows.
     """
     decision, number = expression(fit(docs, labels, sample))
     none = F.col("n_words").isNull()

@@ -21,8 +21,6 @@ from .common import col, ints, map_chunks
 
 #: Labelled documents used, at most: the only bound here.
 SAMPLE = 30_000
-#: Entries of the learned lexicon, at most.
-LEXICON = 4096
 STEMS = (0, 4, 6)  # bytes of a word that make an entry; 0: the whole word
 WRITTEN = (
     "idiot idiots moron morons stupid dumb loser losers scum trash clown pathetic worthless disgusting hate kill shut ugly fool imbecile jerk vermin filth"
@@ -140,18 +138,18 @@ def _learn_lexicon(rows: DataFrame) -> Lexicon:
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     found = rows.mapInArrow(counts, "h long, bad long, good long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("bad >= 8")
     odds = F.log((F.col("bad") + 0.5) / (n.get(1, 0) + 1)) - F.log((F.col("good") + 0.5) / (n.get(0, 0) + 1))
-    top = found.withColumn("w", odds).where(F.col("w") > float(np.log(8))).orderBy(F.desc(F.col("w") * F.sqrt("bad")), "h").limit(LEXICON).collect()
+    top = found.withColumn("w", odds).where(F.col("w") > float(np.log(8))).collect()  # no more than the words of the labelled rows
     h = np.array([r["h"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(h)
     return Lexicon(h[order], np.array([r["w"] for r in top], np.float64)[order])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model from labels (doc_id, toxic 0/1), ``sample`` of them at most, those of least hash of the id; ids labelled both ways are left out."""
+    """The model from labels (doc_id, toxic 0/1), ``sample`` of them at most, those of least hash of the id; ids labelled both ways are left out, and of an id with several texts the least one is used."""
     lab = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other"))
     lab = lab.where("toxic = other").select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3))
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(lab), "doc_id").withColumn("part", part)
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(lab), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).withColumn("part", part)
     lexicon = _learn_lexicon(rows.where("part = 0"))
 
     def measured(c: pa.RecordBatch) -> pa.RecordBatch:
@@ -168,7 +166,9 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     """(doc_id, score, toxic) for every row of ``docs``: the calibrated probability, and whether it is one half or more.
 
     A row without text has a null score and is not toxic; an empty text is
-    scored by features of 0.  Without labels the score is the same for all.
+    scored by features of 0; texts of any length are scored whole; rows without
+    id and repeated rows are scored like all others.  Without labels the score
+    is the same for all; an empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
 
