@@ -139,41 +139,23 @@ def parse(rule: str) -> Tree:
     return _Parser(rule).parse()
 
 
-#: A part that repeats more often than this is counted no further in the automaton of all rules; the rest is left to the rule's own.
-COUNTED = 6
-
-
 def shortest(t: Tree) -> Tree:
-    """The start of a rule, up to the first part that may repeat more than ``COUNTED`` times, and without what may be left out at its end.
-
-    Every match of the rule begins with one of this, so nothing is missed,
-    while counts of several rules that run at once don't multiply the states.
-    """
-    return _start(t)[0]
-
-
-def _start(t: Tree) -> tuple[Tree, bool]:
-    """The start, and whether it is less than the rule."""
+    """The rule without what may be left out at its end: it matches where matches of the rule can first end."""
     if t.kind == "rep":
-        kid, cut = _start(t.kids[0])
-        if cut and t.least:
-            return kid, True
-        if cut or t.most is None or t.most > COUNTED:
-            n = min(t.least, COUNTED)
-            return Tree("rep", kids=t.kids, least=n, most=n), True
-        return t, False
+        if not t.least:
+            return Tree("cat")
+        kid = shortest(t.kids[0])
+        return kid if t.least == 1 else Tree("cat", kids=[Tree("rep", kids=t.kids, least=t.least - 1, most=t.least - 1), kid])
     if t.kind == "cat":
-        kids = []
-        for k in t.kids:
-            kid, cut = _start(k)
-            kids.append(kid)
-            if cut:
-                return Tree("cat", kids=kids), True
-        return t, False
+        kids = list(t.kids)
+        while kids:
+            end = shortest(kids.pop())
+            if end.kind != "cat" or end.kids:
+                return Tree("cat", kids=[*kids, end])
+        return Tree("cat")
     if t.kind == "alt":
-        kids = [_start(k) for k in t.kids]
-        return Tree("alt", kids=[k for k, _ in kids]), any(c for _, c in kids)
-    return t, False
+        return Tree("alt", kids=[shortest(k) for k in t.kids])
+    return t
 
 
 def longest(t: Tree) -> int:
@@ -189,6 +171,10 @@ def longest(t: Tree) -> int:
     return t.most * longest(t.kids[0])
 
 
+class TooMany(ValueError):
+    """More states than asked for."""
+
+
 class _Nfa:
     def __init__(self) -> None:
         self.empty: list[list[int]] = []
@@ -266,41 +252,89 @@ class Dfa:
     dead: int
 
 
-def compile_rules(trees: list[Tree], search: bool) -> Dfa:
-    """One automaton for all rules; with ``search`` a match may begin anywhere."""
+def byte_classes(trees: list[Tree]) -> np.ndarray:
+    """Class of each byte: bytes of one class are alike to all rules."""
+    sets: dict[frozenset, None] = {}
+    todo = list(trees)
+    while todo:
+        t = todo.pop()
+        if t.kind == "bytes":
+            sets[t.bytes] = None
+        todo += t.kids
+    table = np.zeros((256, len(sets)), bool)
+    for j, s in enumerate(sets):
+        table[list(s), j] = True
+    return np.unique(table, axis=0, return_inverse=True)[1].reshape(-1).astype(np.uint8)
+
+
+def _better(nfa: _Nfa, states: list[int], core: dict[int, frozenset], final: int) -> set[tuple[int, int]]:
+    """Pairs (p, q) of a rule's states: whatever leads from q to the end of the rule has a beginning that leads there from p."""
+    out = {(p, q) for p in states for q in states if p == final or (q != final and nfa.step[q][0] <= nfa.step[p][0])}
+    while True:
+        bad = {(p, q) for p, q in out if p != final and not all(any((x, y) in out for x in core[nfa.step[p][1]]) for y in core[nfa.step[q][1]])}
+        if not bad:
+            return out
+        out -= bad
+
+
+def compile_rules(trees: list[Tree], search: bool, byte_class: np.ndarray | None = None, most: int = MOST_STATES) -> Dfa:
+    """One automaton for all rules.
+
+    With ``search`` a match may begin anywhere, and states of a rule that another
+    state of it makes needless are left out: it accepts where matches first end.
+    """
     nfa = _Nfa()
-    starts, finals = [], {}
+    starts, finals, spans = [], {}, []
     for i, t in enumerate(trees):
         s = nfa.state()
         starts.append(s)
-        finals[nfa.add(t, s)] = i
-    sets = list(dict.fromkeys(x[0] for x in nfa.step if x))
-    table = np.zeros((256, len(sets)), bool)
-    for j, s in enumerate(sets):
-        table[list(s), j] = True
-    kinds, byte_class = np.unique(table, axis=0, return_inverse=True)
-    of_set = {s: np.flatnonzero(kinds[:, j]).tolist() for j, s in enumerate(sets)}
-    n = len(kinds)
-    begin = nfa.closure(set(starts))
-    known, order, rows = {begin: 0}, [begin], []
+        last = nfa.add(t, s)
+        end = nfa.state()
+        nfa.empty[last].append(end)
+        finals[end] = i
+        spans.append((s, end))
+    byte_class = byte_classes(trees) if byte_class is None else byte_class
+    n = int(byte_class.max()) + 1
+    of_set = {x[0]: np.unique(byte_class[sorted(x[0])]).tolist() for x in nfa.step if x}
+    real = lambda states: frozenset(y for y in states if nfa.step[y] or y in finals)
+    core = {x: real(nfa.closure({x})) for x in {*starts, *(x[1] for x in nfa.step if x)}}
+    better: set[tuple[int, int]] = set()
+    if search:
+        for s, end in spans:
+            better |= _better(nfa, [x for x in range(s, end + 1) if nfa.step[x] or x == end], core, end)
+    needless: dict[int, set[int]] = {}
+    for p, q in better:
+        if p != q and not ((q, p) in better and q < p):
+            needless.setdefault(p, set()).add(q)
+    begin = frozenset().union(*(core[s] for s in starts))
+
+    def pruned(states: frozenset) -> frozenset:
+        gone = set().union(*(needless[x] for x in states if x in needless)) if search else set()
+        return states - gone
+
+    first = pruned(begin)
+    known, order, rows = {first: 0}, [first], []
+    memo: dict[frozenset, int] = {}
     for here in order:
+        if search:  # what a rule has accepted is over
+            here = frozenset(x for x in here if x not in finals) | begin if any(x in finals for x in here) else here | begin
+            here = pruned(here)
         to: list[set[int]] = [set() for _ in range(n)]
         for x in here:
             if nfa.step[x]:
                 for c in of_set[nfa.step[x][0]]:
                     to[c].add(nfa.step[x][1])
         row = []
-        memo: dict[frozenset, int] = {}
         for x in to:
             f = frozenset(x)
             if f not in memo:
-                full = nfa.closure(set(f)) | (begin if search else frozenset())
-                full = frozenset(y for y in full if nfa.step[y] or y in finals)
+                full = frozenset().union(*(core[y] for y in f))
+                full = pruned(full | begin if search else full)
                 if full not in known:
                     known[full] = len(order)
                     order.append(full)
-                    if len(order) > MOST_STATES:
-                        raise ValueError(f"the rules need more than {MOST_STATES} states")
+                    if len(order) > most:
+                        raise TooMany(f"the rules need more than {most} states")
                 memo[f] = known[full]
             row.append(memo[f])
         rows.append(row)
@@ -310,6 +344,7 @@ def compile_rules(trees: list[Tree], search: bool) -> Dfa:
     block = np.array([names.index(x) for x in label])
     while True:  # states are split until all of a block go to the same blocks
         _, finer = np.unique(np.c_[block, block[nxt]], axis=0, return_inverse=True)
+        finer = finer.reshape(-1)
         if finer.max() == block.max():
             break
         block = finer
@@ -321,4 +356,4 @@ def compile_rules(trees: list[Tree], search: bool) -> Dfa:
     nxt = rank[block[nxt[rep[sorted_blocks]]]]
     accept = int((~accepts).sum())
     loops = [i for i in range(accept) if (nxt[i] == i).all()]
-    return Dfa(np.ascontiguousarray(nxt * n, dtype=np.int32).reshape(-1), byte_class.astype(np.uint8), n, accept, [label[rep[b]] for b in sorted_blocks[accept:]], int(rank[block[0]]), loops[0] if loops else -1)
+    return Dfa(np.ascontiguousarray(nxt * n, dtype=np.int32).reshape(-1), byte_class, n, accept, [label[rep[b]] for b in sorted_blocks[accept:]], int(rank[block[0]]), loops[0] if loops else -1)

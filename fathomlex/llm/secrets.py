@@ -1,15 +1,19 @@
 """Secret scan: all rules in one pass over the bytes.
 
-The rules make one deterministic automaton.  A batch of texts is cut into lanes
-of equal length that overlap by the longest match, and all lanes take their
-next step together, one array operation for each.  It recognises how
-rules begin (all of a rule but long counts); where a lane accepts, the exact
-match is taken with the automaton of that rule alone.
+The rules, whole, make few deterministic automata, minimised: one if its states
+aren't too many, else as many as keep them few, since counts of several rules
+that run at once multiply.  A batch of texts is cut into lanes of equal length
+that overlap by the longest shortest match, and all lanes take their next step
+in all automata together, one array operation for each.  An automaton accepts
+where matches of a rule can first end; from the places before, that rule's own
+automaton steps along, all places together, to the end of the longest match.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from . import automaton
 from . import kernels as K
-from .common import col, documents, ints, map_chunks
+from .common import col, documents, ints, map_chunks, multi_range
 
 #: Name and expression; only the end of an expression may repeat without bound.
 RULES: tuple[tuple[str, str], ...] = (
@@ -36,97 +40,132 @@ SCHEMA = "doc_id long, rule string, n_matches int, secrets string"
 LANE = 1024
 
 
+#: States of one automaton, at most, if it is of several rules.
+STATES = 700
+
+
 @dataclass
 class Scanner:
     names: list[str]
-    all: automaton.Dfa
+    #: Rules of each automaton, and the automaton; one partition of bytes into classes for all.
+    joint: list[tuple[list[int], automaton.Dfa]]
     each: list[automaton.Dfa]
-    overlap: int
+    #: Bytes of the longest shortest match of each rule.
+    reach: list[int]
 
 
+@lru_cache(8)
 def scanner(rules: tuple[tuple[str, str], ...] = RULES) -> Scanner:
     trees = [automaton.parse(r) for _, r in rules]
     short = [automaton.shortest(t) for t in trees]
-    return Scanner([n for n, _ in rules], automaton.compile_rules(short, True), [automaton.compile_rules([t], False) for t in trees], max(map(automaton.longest, short)))
+    kinds = automaton.byte_classes(trees)
+    joint: list[tuple[list[int], automaton.Dfa]] = []
+    for i, t in enumerate(short):
+        alone = automaton.compile_rules([t], True, kinds)
+        for j, (own, d) in enumerate(joint):
+            if len(d.next) * (len(alone.next) // alone.classes) > 25 * STATES * d.classes:
+                continue  # not worth a try
+            try:
+                joint[j] = [*own, i], automaton.compile_rules([short[k] for k in [*own, i]], True, kinds, STATES)
+                break
+            except automaton.TooMany:
+                continue
+        else:
+            joint.append(([i], alone))
+    return Scanner([n for n, _ in rules], joint, [automaton.compile_rules([t], False, kinds) for t in trees], [automaton.longest(t) for t in short])
+
+
+def accepts(kinds: np.ndarray, s: Scanner) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each automaton the places after which it accepts, and its states there; ``kinds``: the classes of all bytes."""
+    n, lap = len(kinds), max(s.reach) - 1
+    lanes = -(-n // LANE)
+    padded = np.full(lap + lanes * LANE, s.each[0].byte_class[automaton.BREAK], np.uint8)
+    padded[lap : lap + n] = kinds
+    steps = np.lib.stride_tricks.as_strided(padded, (lanes, lap + LANE), (LANE, 1)).T.astype(np.int32, order="C")
+    states = [np.full(lanes, d.start * d.classes, np.int32) for _, d in s.joint]
+    floors = [d.accept * d.classes for _, d in s.joint]
+    found: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in s.joint]
+    for i, c in enumerate(steps):
+        for g, (_, d) in enumerate(s.joint):
+            state = states[g] = d.next.take(states[g] + c)
+            if i >= lap and int(state.max()) >= floors[g]:
+                lane = np.flatnonzero(state >= floors[g])
+                found[g].append((i, lane, state[lane] // d.classes))
+    out = []
+    for f in found:
+        place = np.concatenate([lane * LANE + (i - lap) for i, lane, _ in f] + [np.zeros(0, np.int64)])
+        state = np.concatenate([st for _, _, st in f] + [np.zeros(0, np.int32)])
+        order = np.argsort(place, kind="stable")
+        order = order[place[order] < n]
+        out.append((place[order], state[order]))
+    return out
 
 
-def accepts(data: np.ndarray, offsets: np.ndarray, s: Scanner) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, end, state) of every place at which the automaton accepts; ends are byte places in ``data``."""
-    dfa = s.all
+def ends(kinds: np.ndarray, start: np.ndarray, dfa: automaton.Dfa) -> np.ndarray:
+    """For each place, the end of the longest match of a rule that begins there, or -1; ``kinds`` ends with a class that no rule matches."""
+    n, dead, floor = dfa.classes, dfa.dead * dfa.classes, dfa.accept * dfa.classes
+    out = np.full(len(start), -1, np.int64)
+    lane, at = np.arange(len(start)), start.astype(np.int64)
+    state = np.full(len(start), dfa.start * n, np.int32)
+    stays = dfa.next.reshape(-1, n) == np.arange(len(dfa.next) // n, dtype=np.int32)[:, None] * n
+    for step in count():
+        if not len(lane):
+            return out
+        if step > 64 and step % 16 == 0:  # the few that go on mostly stay in one state: to the end of that
+            for i in range(len(lane)):
+                row, width = stays[state[i] // n], 256
+                while row[kinds[at[i]]]:
+                    here = row[kinds[at[i] : at[i] + width]]
+                    at[i] += len(here) if here.all() else int(np.argmin(here))
+                    width *= 4
+                if state[i] >= floor:
+                    out[lane[i]] = at[i]
+        state = dfa.next[state + kinds[at]]
+        at += 1
+        ok = state >= floor
+        out[lane[ok]] = at[ok]
+        ok = state != dead
+        lane, at, state = lane[ok], at[ok], state[ok]
+
+
+def matches(data: np.ndarray, offsets: np.ndarray, s: Scanner) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each rule (text, start, end) of the leftmost-longest matches, as places in ``data``."""
     none = (np.zeros(0, np.int64),) * 3
     if not len(data):
-        return none
-    buf = np.insert(data, offsets[1:-1], automaton.BREAK)
-    n, lap = len(buf), s.overlap - 1
-    lanes = -(-n // LANE)
-    padded = np.full(lap + lanes * LANE, dfa.byte_class[automaton.BREAK], np.uint8)
-    padded[lap : lap + n] = dfa.byte_class[buf]
-    steps = np.lib.stride_tricks.as_strided(padded, (lanes, lap + LANE), (LANE, 1)).T.astype(np.int32, order="C")
-    state = np.full(lanes, dfa.start * dfa.classes, np.int32)
-    floor = dfa.accept * dfa.classes
-    found_at, found_lane, found_state = [], [], []
-    for i, c in enumerate(steps):
-        state = dfa.next.take(state + c)
-        if i >= lap and int(state.max()) >= floor:
-            lane = np.flatnonzero(state >= floor)
-            found_at.append(np.full(len(lane), i))
-            found_lane.append(lane)
-            found_state.append(state[lane] // dfa.classes)
-    if not found_at:
-        return none
-    place = np.concatenate(found_lane) * LANE + np.concatenate(found_at) - lap
-    st = np.concatenate(found_state)
-    order = np.argsort(place, kind="stable")
-    place, st = place[order], st[order]
-    ok = place < n
-    place, st = place[ok], st[ok]
-    breaks = offsets[1:-1] + np.arange(len(offsets) - 2)
-    text = np.searchsorted(breaks, place, "right")
-    return text, place - text + 1, st
-
-
-def _longest(dfa: automaton.Dfa, text: bytes, at: int) -> int:
-    """End of the longest match that begins at a place, or -1."""
-    nxt, cls, n = dfa.next, dfa.byte_class, dfa.classes
-    state, end = dfa.start * n, -1
-    dead, floor = dfa.dead * n, dfa.accept * n
-    for i in range(at, len(text)):
-        state = int(nxt[state + int(cls[text[i]])])
-        if state == dead:
-            break
-        if state >= floor:
-            end = i + 1
-    return end
-
-
-def matches(text: bytes, ends: list[int], dfa: automaton.Dfa, lap: int) -> list[bytes]:
-    """All leftmost-longest matches of one rule, given the places at which shortest ones end."""
-    out, at = [], 0
-    for e in ends:
-        at = max(at, e - lap)
-        while at < e:
-            end = _longest(dfa, text, at)
-            if end >= 0:
-                out.append(text[at:end])
-                at = end
-            else:
-                at += 1
+        return [none] * len(s.names)
+    breaks = offsets[1:] + np.arange(len(offsets) - 1)
+    kinds = s.each[0].byte_class[np.insert(data, offsets[1:], automaton.BREAK)]
+    out = [none] * len(s.names)
+    for (own, dfa), (place, state) in zip(s.joint, accepts(kinds, s)):
+        for i, r in enumerate(own):
+            e = place[np.array([i in x for x in dfa.rules] or [False])[state - dfa.accept]] if len(place) else place
+            if not len(e):
+                continue
+            # all places from which a match may have come to one of these ends
+            lo = e + 1 - s.reach[r]
+            lo = np.maximum(lo, np.r_[0, e[:-1] + 1])
+            start = multi_range(np.maximum(lo, 0), e + 1 - np.maximum(lo, 0))
+            end = ends(kinds, start, s.each[r])
+            start, end = start[end >= 0], end[end >= 0]
+            take, free = [], 0
+            for k, (a, b) in enumerate(zip(start.tolist(), end.tolist())):
+                if a >= free:
+                    take.append(k)
+                    free = b
+            start, end = start[take], end[take]
+            text = np.searchsorted(breaks, start, "left")
+            out[r] = text, start - text, end - text
     return out
 
 
 def scan_chunk(c: pa.RecordBatch, s: Scanner) -> pa.RecordBatch:
     data, offsets = K.raw(col(c, "text"))
-    text, end, state = accepts(data, offsets, s)
     ids = ints(c, "doc_id")
-    hits: dict[tuple[int, int], list[int]] = {}
-    for t, e, st in zip(text.tolist(), end.tolist(), state.tolist()):
-        for r in s.all.rules[st - s.all.accept]:
-            hits.setdefault((t, r), []).append(e - int(offsets[t]))
-    rows = []
-    for (t, r), ends in sorted(hits.items()):
-        found = matches(data[offsets[t] : offsets[t + 1]].tobytes(), ends, s.each[r], s.overlap)
-        if found:
-            rows.append((int(ids[t]), s.names[r], len(found), " ".join(x.decode("utf-8", "replace") for x in found)))
+    hits: dict[tuple[int, int], list[bytes]] = {}
+    for r, (text, start, end) in enumerate(matches(data, offsets, s)):
+        for t, x, y in zip(text.tolist(), start.tolist(), end.tolist()):
+            hits.setdefault((t, r), []).append(data[x:y].tobytes())
+    rows = [(int(ids[t]), s.names[r], len(found), " ".join(x.decode("utf-8", "replace") for x in found)) for (t, r), found in sorted(hits.items())]
     cols = list(zip(*rows)) if rows else [[]] * 4
     return pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string())], ["doc_id", "rule", "n_matches", "secrets"])
 
@@ -136,7 +175,7 @@ def scan(docs: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFra
 
     Rows without id or text and empty texts give none; a repeated row gives its
     rows again; texts of any length are scanned to their end.  No rule matches
-    across two texts.
+    across two texts.  An empty table has an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(scanner(rules))
     return map_chunks(documents(docs), lambda c: scan_chunk(c, shared.value), SCHEMA, most=4 << 20)

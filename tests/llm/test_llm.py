@@ -549,4 +549,25 @@ def test_automaton_against_re():
         for _ in range(200):
             s = "".join(rnd.choice("abcxA") for _ in range(rnd.randrange(7)))
             ends = [e for e in range(1, len(s) + 1) if re.fullmatch(rule, s[:e])]
-            assert secrets._longest(dfa, s.encode(), 0) == (max(ends) if ends else -1), (rule, s)
+            kinds = dfa.byte_class[np.r_[np.frombuffer(s.encode(), np.uint8), np.uint8(au.BREAK)]]
+            assert secrets.ends(kinds, np.zeros(1, np.int64), dfa)[0] == (max(ends) if ends else -1), (rule, s)
+
+
+def test_3_whole_rules_against_re():
+    rnd = random.Random(41)
+    rules = (("a", r"(AB|CD)[0-9A-D]{5}"), ("b", r"x[ab]{2,4}y"), ("c", r"://[ab]{1,3}:[abc]{2,4}@[a-c]{2,}"), ("d", r"A[AB]{2,}"), ("e", r"(?i)pw[=: ]{0,2}[a-z0-9]{3,}"), ("f", r"aa(bc|b)?"))
+    s = secrets.scanner(rules)
+    for _ in range(30):
+        texts = ["".join(rnd.choice(["AB", "CD", "A", "x", "a", "b", "y", "://", ":", "@", "c", "pw", "=", "9", "é", " "]) for _ in range(rnd.randrange(120))) for _ in range(20)]
+        texts[0] = "pw=" + "a" * 700 + "://ab:abc@" + "b" * 3000
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        offsets = np.r_[0, np.cumsum([len(t.encode()) for t in texts])]
+        for (_, rule), (text, start, end) in zip(rules, secrets.matches(data, offsets, s)):
+            found = [(t, data[a:b].tobytes().decode()) for t, a, b in zip(text.tolist(), start.tolist(), end.tolist())]
+            assert found == [(i, x.group()) for i, t in enumerate(texts) for x in re.finditer(rule, t)], rule
+
+
+def test_3_rules_that_need_many_states_are_dealt_to_several_automata():
+    s = secrets.scanner()
+    assert sorted(r for own, _ in s.joint for r in own) == list(range(len(secrets.RULES))) and 1 < len(s.joint) < 7
+    assert all(len(d.next) // d.classes <= secrets.STATES for own, d in s.joint if len(own) > 1)
