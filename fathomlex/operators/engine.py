@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..errors import SearchError
@@ -27,7 +28,7 @@ class Found:
 
 @dataclass
 class Engine:
-    """``postings`` and ``docs`` as in ``operators.index``; schemas by index name. ``strict``: exclusive bounds by < and >; ``compat``: see ``filters``."""
+    """``postings``, ``docs`` and ``stats`` (term counts, if stored) as in ``operators.index``; schemas by index name. ``strict``: exclusive bounds by < and >; ``compat``: see ``filters``."""
 
     postings: DataFrame
     schemas: dict[str, Schema]
@@ -35,6 +36,7 @@ class Engine:
     strict: bool = False
     compat: bool = False
     most: int | None = MOST_RESULTS
+    stats: DataFrame | None = None
     _options: dict = field(default_factory=dict)
 
     def schema(self, index: str) -> Schema:
@@ -53,11 +55,11 @@ class Engine:
         schema = self.schema(index).with_options(None, op)
         return filters.compile_filter(parser.parse_in(query, None, schema.default_field), schema, self.compat)
 
-    def match(self, index: str, query: str, filter: str | None = None, scored: bool = False, df: str | None = None, op: str | None = None) -> DataFrame:
-        """All results as (index, doc_id, score), in no order, with no cap: input for any further query."""
+    def match(self, index: str, query: str, filter: str | None = None, scored: bool = False, df: str | None = None, op: str | None = None, props: bool = False) -> DataFrame:
+        """All results as (index, doc_id, score), in no order, with no cap: input for any further query. ``props``: with positions and inline fields."""
         plan = self.plan(index, query, df, op)
-        w = search.weights(plan, search.frequencies(self.postings, plan)) if scored else None
-        return search.matches(self.postings, plan, self.filter(index, filter, op), w)
+        w = search.weights(plan, search.frequencies(self.postings, plan, self.stats)) if scored else None
+        return search.matches(self.postings, plan, self.filter(index, filter, op), w, props)
 
     def search(self, index: str, query: str, filter: str | None = None, start: int = 0, rows: int | None = 10, presort: str = "score", **options) -> DataFrame:
         """One page of results, best first (or by doc_id)."""
@@ -67,13 +69,19 @@ class Engine:
         return self.match(index, query, filter, **options).count()
 
     def found(self, index: str, query: str, filter: str | None = None, start: int = 0, rows: int | None = 10, presort: str = "score", **options) -> Found:
-        """A page with num_found and max_score; more than ``most`` matches are an error."""
+        """A page with num_found and max_score, in one pass over the matches; more than ``most`` matches are an error."""
         all_ = self.match(index, query, filter, True, **options)
-        n = all_.count()
+        got, n = self.counted(all_, lambda m: search.page(m, presort, start, rows))
+        return Found(got, n, got[0]["score"] if got else 0.0)
+
+    def counted(self, found: DataFrame, page: Callable[[DataFrame], DataFrame]) -> tuple[list, int]:
+        """The rows of a page of some matches, and how many matches there are, counted as they pass."""
+        seen = Observation()
+        got = page(found.observe(seen, F.count(F.lit(1)).alias("n"))).collect()
+        n = seen.get["n"]
         if self.most is not None and n > self.most:
             raise SearchError("too_many_results", n)
-        got = search.page(all_, presort, start, rows).collect()
-        return Found(got, n, got[0]["score"] if got else 0.0)
+        return got, n
 
     def fetched(self, page: DataFrame) -> DataFrame:
         """The page with the fields of its documents; documents that aren't there any more drop out."""
@@ -83,9 +91,8 @@ class Engine:
 
     def facets(self, index: str, query: str, name: str, filter: str | None = None) -> DataFrame:
         """(value, n): matches by the terms of an inline field."""
-        keys = self.match(index, query, filter).select("index", "doc_id")
-        values = self.postings.where(F.col("index") == index).select("index", "doc_id", F.explode(F.col("inline")[self.schema(index).canonical(name)]).alias("value")).distinct()
-        return values.join(keys, ["index", "doc_id"], "left_semi").groupBy("value").agg(F.count("*").alias("n"))
+        values = F.col("inline")[self.schema(index).canonical(name)]
+        return self.match(index, query, filter, props=True).select(F.explode(values).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
 
     def explain(self, index: str, query: str, filter: str | None = None) -> dict:
         """The parsed and compiled query and the parsed filter."""

@@ -15,6 +15,7 @@ from ..functions.analyzers import tokens
 from ..plans.schema import Schema
 
 POSTINGS = ("index", "field", "term", "doc_id", "positions", "inline", "key_clock")
+POSTINGS_KIND = "index string, field string, term string, doc_id string, positions array<int>, inline map<string,array<string>>, key_clock bigint"
 
 
 def from_columns(df: DataFrame, index: str, key: str, fields: Mapping[str, str]) -> DataFrame:
@@ -24,10 +25,11 @@ def from_columns(df: DataFrame, index: str, key: str, fields: Mapping[str, str])
 
 
 def from_fields(rows: DataFrame, index: str) -> DataFrame:
-    """docs from rows (doc_id, ord, name, value), one a field: values of one name are joined in order by a space."""
+    """docs from rows (doc_id, ord, name, value), one a field: values of one name are joined in order by a space, and names stand in the order of their first values."""
     joined = rows.where("value IS NOT NULL").groupBy("doc_id", "name").agg(F.sort_array(F.collect_list(F.struct("ord", "value"))).alias("v"))
-    joined = joined.select("doc_id", F.named_struct(F.lit("key"), F.col("name"), F.lit("value"), F.array_join(F.col("v.value"), " ")).alias("e"))
-    return joined.groupBy("doc_id").agg(F.map_from_entries(F.sort_array(F.collect_list("e"))).alias("fields")).select(F.lit(index).alias("index"), "doc_id", "fields")
+    joined = joined.select("doc_id", F.struct(F.col("v")[0]["ord"].alias("ord"), F.col("name").alias("key"), F.array_join(F.col("v.value"), " ").alias("value")).alias("e"))
+    in_order = F.transform(F.sort_array(F.collect_list("e")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    return joined.groupBy("doc_id").agg(F.map_from_entries(in_order).alias("fields")).select(F.lit(index).alias("index"), "doc_id", "fields")
 
 
 def _names(schema: Schema, names: list[str]) -> list[tuple[str, str]]:
@@ -40,6 +42,13 @@ def field_names(docs: DataFrame) -> list[str]:
     return sorted(r[0] for r in docs.select(F.explode(F.map_keys("fields")).alias("n")).distinct().collect())
 
 
+def _text(names: list[str]) -> Column:
+    """The text of a field: that of its names, in the document's order."""
+    if len(names) == 1:
+        return F.col("fields")[names[0]]
+    return F.array_join(F.transform(F.filter(F.map_entries("fields"), lambda e: e["key"].isin(names)), lambda e: e["value"]), " ")
+
+
 def inline_terms(docs: DataFrame, schema: Schema, names: list[str]) -> Column:
     """inline field -> its distinct terms in order, as one map built in the row."""
     by: dict[str, list[str]] = {}
@@ -49,32 +58,55 @@ def inline_terms(docs: DataFrame, schema: Schema, names: list[str]) -> Column:
     entries = []
     for c, ns in by.items():
         analyzer, args = schema.analysis(c)
-        found = F.array_sort(F.array_distinct(F.array_compact(tokens(F.concat_ws(" ", *(F.col("fields")[n] for n in ns)), analyzer, args))))
+        found = F.array_sort(F.array_distinct(F.array_compact(tokens(_text(ns), analyzer, args))))
         entries.append(F.named_struct(F.lit("key"), F.lit(c), F.lit("value"), found))
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<string>>"))
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: F.size(e["value"]) > 0)) if entries else empty
 
 
 def postings(docs: DataFrame, schema: Schema, names: list[str] | None = None, clock: Column | None = None) -> DataFrame:
-    """All postings of ``docs``. ``names``: the field names, if they are known, which saves a pass.
+    """All postings of ``docs``, one row a document. ``names``: the field names, if they are known, which saves a pass.
 
-    Texts move once, by document; their tokens are exploded and gathered behind
-    that exchange, so no token is shuffled.
+    Texts move once, by document.  A field's tokens are put in order and cut
+    into terms within the row, so no token is shuffled or sorted with others; a
+    document without fields, and an empty table, have no postings.
     """
     names = field_names(docs) if names is None else names
     by: dict[str, list[str]] = {}
     for n, c in _names(schema, names):
         if schema.find(n).inline != "only":
             by.setdefault(c, []).append(n)
+    if not by:
+        return docs.sparkSession.createDataFrame([], POSTINGS_KIND)
     cells = []
     for c, ns in by.items():
-        text = F.col("fields")[ns[0]] if len(ns) == 1 else F.concat_ws(" ", *(F.col("fields")[n] for n in ns))
-        cells.append(F.named_struct(F.lit("field"), F.lit(c), F.lit("tokens"), tokens(text, *schema.analysis(c))))
+        placed = F.transform(tokens(_text(ns), *schema.analysis(c)), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+        cells.append(F.struct(F.lit(c).alias("field"), F.sort_array(F.filter(placed, lambda e: e["term"].isNotNull())).alias("at")))
     spread = docs.repartition("index", "doc_id")
     rows = spread.select("index", "doc_id", inline_terms(docs, schema, names).alias("inline"), (clock if clock is not None else F.lit(0)).cast("long").alias("key_clock"), F.explode(F.array(*cells)).alias("c"))
-    each = rows.select("index", "doc_id", "inline", "key_clock", "c.field", F.posexplode("c.tokens").alias("pos", "term")).where(F.col("term").isNotNull())
-    out = each.groupBy("index", "doc_id", "field", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.first("inline").alias("inline"), F.max("key_clock").alias("key_clock"))
-    return out.select(*POSTINGS)
+    rows = rows.select("index", "doc_id", "inline", "key_clock", "c.field", F.col("c.at").alias("at"), F.size("c.at").alias("n")).where("n > 0")
+    first = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == 0) | (F.col("at")[i]["term"] != F.col("at")[F.greatest(i - 1, F.lit(0))]["term"]))
+    rows = rows.withColumn("first", first)
+    rows = rows.select("index", "doc_id", "inline", "key_clock", "field", "at", F.explode(F.arrays_zip(F.col("first").alias("lo"), F.concat(F.slice("first", 2, F.col("n")), F.array("n")).alias("hi"))).alias("r"))
+    positions = F.transform(F.slice("at", F.col("r.lo") + 1, F.col("r.hi") - F.col("r.lo")), lambda e: e["pos"])
+    return rows.select("index", "field", F.col("at")[F.col("r.lo")]["term"].alias("term"), "doc_id", positions.alias("positions"), "inline", "key_clock")
+
+
+def sizes(postings_: DataFrame, docs: DataFrame, most: int) -> DataFrame:
+    """(index, doc_id, bytes) of documents whose fields and postings together take more than ``most`` bytes, about: a store may refuse them."""
+    words = postings_.groupBy("index", "doc_id").agg(F.sum(F.octet_length("term") + 4 * F.size("positions")).alias("p"))
+    own = docs.select("index", "doc_id", F.octet_length(F.to_json("fields")).alias("f"))
+    return own.join(words, ["index", "doc_id"], "left").select("index", "doc_id", (F.col("f") + F.coalesce("p", F.lit(0))).cast("long").alias("bytes")).where(F.col("bytes") > most)
+
+
+def term_stats(postings_: DataFrame) -> DataFrame:
+    """(index, field, term, df): how many documents have each term; a table to be stored beside the postings, from which scores then take their counts."""
+    return postings_.groupBy("index", "field", "term").agg(F.count("*").alias("df"))
+
+
+def save_stats(stats: DataFrame, path: str) -> None:
+    """Write term counts so that a query reads only its terms'."""
+    stats.repartitionByRange("index", "field", "term").sortWithinPartitions("index", "field", "term").write.mode("overwrite").partitionBy("index", "field").parquet(path)
 
 
 def save(postings_: DataFrame, path: str) -> None:

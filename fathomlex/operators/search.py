@@ -51,12 +51,15 @@ class Weights:
     n_terms: int
 
 
-def frequencies(postings: DataFrame, plan: Plan) -> list[int]:
-    """Postings of each term leaf, counted before any filter; 0 for ranges. One aggregation of a few values for all leaves."""
+def frequencies(postings: DataFrame, plan: Plan, stats: DataFrame | None = None) -> list[int]:
+    """Postings of each term leaf, counted before any filter; 0 for ranges. One aggregation of a few values for all leaves, or a look at ``stats`` (``index.term_stats``)."""
     terms = [x for x in plan.leaves if isinstance(x, TermLeaf)]
     if not terms:
         return [0] * len(plan.leaves)
     distinct = sorted({(x.index, x.field, x.term) for x in terms})
+    if stats is not None:
+        found = {(r["index"], r["field"], r["term"]): r["df"] for r in stats.where(reduce(Column.__or__, (condition(TermLeaf(*d)) for d in distinct))).collect()}
+        return [found.get((x.index, x.field, x.term), 0) if isinstance(x, TermLeaf) else 0 for x in plan.leaves]
     row = postings.where(reduce(Column.__or__, (condition(x) for x in terms))).agg(*(F.count(F.when(condition(TermLeaf(*d)), 1)).alias(f"n{i}") for i, d in enumerate(distinct))).first()
     df = dict(zip(distinct, row))
     return [df[(x.index, x.field, x.term)] if isinstance(x, TermLeaf) else 0 for x in plan.leaves]
@@ -79,14 +82,18 @@ def _window(lists: list[Column], n: int) -> Column:
     return F.exists(F.concat(*lists), inside)
 
 
-def matches(postings: DataFrame, plan: Plan, filter_: Column | None = None, w: Weights | None = None) -> DataFrame:
+def matches(postings: DataFrame, plan: Plan, filter_: Column | None = None, w: Weights | None = None, props: bool = False) -> DataFrame:
     """(index, doc_id, score) of the documents that the plan finds; without weights the score is null. No order.
 
     Postings hold (index, field, term, doc_id, positions, inline).  All leaves
-    read one scan; phrases alone carry positions through the shuffle.
+    read one scan; phrases alone carry positions through the shuffle.  With
+    ``props`` the result also has ``positions``, a map from 'field:term' to the
+    places of each of the query's terms that the document has, and ``inline``.
     """
+    more = ("positions", "inline") if props else ()
     if not plan.leaves or isinstance(plan.tree, Nothing):
-        return postings.select(*KEY).withColumn("score", F.lit(None).cast("double")).where(F.lit(False))
+        out = postings.select(*KEY, F.lit(None).cast("double").alias("score"), F.lit(None).cast("map<string,array<int>>").alias("positions"), F.lit(None).cast("map<string,array<string>>").alias("inline"))
+        return out.select(*KEY, "score", *more).where(F.lit(False))
     in_phrase = set()
 
     def visit(node: object) -> None:
@@ -105,6 +112,8 @@ def matches(postings: DataFrame, plan: Plan, filter_: Column | None = None, w: W
         aggs.append(F.max(F.when(here, F.size("positions"))).alias(f"_n{i}"))
         if i in in_phrase:
             aggs.append(F.max(F.when(here, F.col("positions"))).alias(f"_p{i}"))
+    if props:
+        aggs += [F.map_from_entries(F.collect_set(F.struct(F.concat("field", F.lit(":"), "term"), "positions"))).alias("positions"), F.first("inline").alias("inline")]
     docs = scan.groupBy(*KEY).agg(*aggs)
     zero = F.lit(0.0)
 
@@ -139,7 +148,7 @@ def matches(postings: DataFrame, plan: Plan, filter_: Column | None = None, w: W
 
     ok, n, total = build(plan.tree)
     score = n / F.lit(w.n_terms + 1.0) * F.lit(w.norm) * total if w else F.lit(None).cast("double")
-    return docs.where(ok).select(*KEY, score.alias("score"))
+    return docs.where(ok).select(*KEY, score.alias("score"), *more)
 
 
 def page(found: DataFrame, presort: str = "score", start: int = 0, rows: int | None = 10) -> DataFrame:

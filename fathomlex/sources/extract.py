@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import xml.sax
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -97,26 +97,41 @@ EXTRACTORS: dict[str, Callable[[str, str], Pairs]] = {
 }
 
 
-def extracted(objects: DataFrame, default: str = "value", own: Callable[[str, str], Pairs] | None = None) -> DataFrame:
-    """Field rows of objects (key, content_type, value); ``own`` takes the place of the content type's extractor.
+Own = Callable[[str, str], Pairs]
 
-    A value that can't be read fails the job with the key in its message; rows
-    without key or value have no fields.
+
+def extracted(objects: DataFrame, default: str = "value", own: Own | Mapping[str, Own] | None = None, errors: bool = False) -> DataFrame:
+    """Field rows of objects (key, content_type, value, and bucket if extractors go by it).
+
+    ``own`` takes the place of the content type's extractor: for all objects, or
+    for those of the buckets that it names.  A value that can't be read fails
+    the job with the key in its message, or with ``errors`` becomes a row of
+    null name whose value is the message; rows without key or value have no
+    fields.  Raw objects never leave the JVM.
     """
+    by_bucket = dict(own) if isinstance(own, Mapping) else {}
+    every = None if isinstance(own, Mapping) else own
+    kind = F.trim(F.substring_index(F.coalesce("content_type", F.lit("")), ";", 1))
+    bucket = F.coalesce(F.col("bucket").cast("string"), F.lit("")) if by_bucket else F.lit("")
+    d = objects.where("key IS NOT NULL AND value IS NOT NULL").select(F.col("key").cast("string").alias("key"), kind.alias("kind"), bucket.alias("bucket"), F.col("value").cast("binary").alias("value"))
+    plain = F.lit(False) if every else ~F.col("kind").isin(list(EXTRACTORS)) & ~F.col("bucket").isin(list(by_bucket) or [" "])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             out = []
-            for key, kind, value in zip(p["key"], p["content_type"], p["value"]):
-                f = own or EXTRACTORS.get((kind or "").split(";")[0].strip(), raw_fields)
+            for key, type_, of, value in zip(p["key"], p["kind"], p["bucket"], p["value"]):
+                f = every or by_bucket.get(of) or EXTRACTORS.get(type_, raw_fields)
                 try:
                     pairs = f(bytes(value).decode("utf-8", "replace"), default)
                 except Exception as e:
-                    raise ValueError(f"object {key!r} of type {kind!r} can't be read: {e}") from e
+                    if not errors:
+                        raise ValueError(f"object {key!r} of type {type_!r} can't be read: {e}") from e
+                    pairs = [(None, f"{type(e).__name__}: {e}")]
                 out += [(key, i, n, v) for i, (n, v) in enumerate(pairs)]
             yield pd.DataFrame(out, columns=["doc_id", "ord", "name", "value"])
 
-    return objects.where("key IS NOT NULL AND value IS NOT NULL").select("key", "content_type", F.col("value").cast("binary").alias("value")).mapInPandas(run, FIELDS)
+    raw = d.where(plain).select(F.col("key").alias("doc_id"), F.lit(0).alias("ord"), F.lit(default).alias("name"), F.make_valid_utf8(F.col("value").cast("string")).alias("value"))
+    return raw.unionByName(d.where(~plain).mapInPandas(run, FIELDS))
 
 
 def directory(spark: SparkSession, path: str, default: str = "value") -> DataFrame:

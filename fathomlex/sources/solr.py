@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import glob
 import json
+import os
 import re
+import time
 from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import DataFrame
@@ -59,7 +62,9 @@ def select(engine: Engine, params: dict[str, str], index: str = "search", sort_s
     options = {"df": params.get("df"), "op": params.get("q.op")}
     limit = None if rows == "infinity" else int(rows)
     by_page = sort == "none" or sort_scope == "page"
-    found = engine.found(index, q, params.get("filter"), start if by_page else 0, limit if by_page else None, params.get("presort", "score"), **options)
+    if not by_page:
+        return _sorted_whole(engine, params, index, sort, start, limit, fields, options)
+    found = engine.found(index, q, params.get("filter"), start, limit, params.get("presort", "score"), **options)
     spark = engine.postings.sparkSession
     page = spark.createDataFrame([(i, *r) for i, r in enumerate(found.rows)], "rank int, index string, doc_id string, score double")
     if fields == [schema.unique_key]:
@@ -67,24 +72,51 @@ def select(engine: Engine, params: dict[str, str], index: str = "search", sort_s
         return _response(params, found.num_found, start, 0.0, docs, schema)
     full = engine.fetched(page)
     full = sorted_page(full, schema, sort) if sort != "none" else full.orderBy("rank")
-    if not by_page:
-        full = full.offset(start) if limit is None else full.offset(start).limit(limit)
     docs = [{"id": r["doc_id"], "fields": {k: v for k, v in sorted(r["fields"].items()) if fields is None or k in fields}} for r in full.collect()]
     return _response(params, found.num_found, start, found.max_score, docs, schema)
 
 
+def _sorted_whole(engine: Engine, params: dict, index: str, sort: str, start: int, limit: int | None, fields: list[str] | None, options: dict) -> dict:
+    """The same with all results in the order of the sort, equal ones by score, before a page is taken."""
+    schema = engine.schema(index)
+    all_ = engine.match(index, params["q"], params.get("filter"), True, **options).join(engine.docs, ["index", "doc_id"])
+
+    def page(m: DataFrame) -> DataFrame:
+        order = []
+        for name, falls in sort_keys(sort):
+            c = F.col("fields")[name]
+            c = c.cast("decimal(38,0)") if schema.find(name).type == "integer" else c
+            order.append(c.desc_nulls_last() if falls else c.asc_nulls_first())
+        m = m.orderBy(*order, F.desc("score"), "doc_id").offset(start)
+        return m if limit is None else m.limit(limit)
+
+    got, n = engine.counted(all_, page)
+    docs = [{"id": r["doc_id"], "fields": {k: v for k, v in sorted(r["fields"].items()) if fields is None or k in fields}} for r in got]
+    return _response(params, n, start, max((r["score"] for r in got), default=0.0), docs, schema)
+
+
+def respond(engine: Engine, params: dict[str, str], index: str = "search", sort_scope: str = "page") -> str:
+    """The response to a select request as text, in XML or, with wt=json, JSON; QTime counts milliseconds."""
+    began = time.monotonic()
+    r = select(engine, params, index, sort_scope)
+    r["qtime"] = round(1000 * (time.monotonic() - began))
+    return as_json(r) if params.get("wt") == "json" else as_xml(r)
+
+
 def _response(params: dict, n: int, start: int, top: float, docs: list[dict], schema: Schema) -> dict:
     return {"params": params, "num_found": n, "start": start, "max_score": f"{top:.6f}" if top else "0.0", "docs": docs, "types": {k: schema.find(k).type for d in docs for k in d["fields"]}, "key": schema.unique_key}
 
 
 def as_json(r: dict) -> str:
     docs = [{"id": d["id"], "fields": {k: int(v) if r["types"][k] == "integer" and re.fullmatch(r"[+-]?\d+", v.strip()) else v for k, v in d["fields"].items()}} for d in r["docs"]]
-    return json.dumps({"responseHeader": {"status": 0, "params": r["params"]}, "response": {"numFound": r["num_found"], "start": r["start"], "maxScore": r["max_score"], "docs": docs}})
+    return json.dumps({"responseHeader": {"status": 0, "QTime": r.get("qtime", 0), "params": r["params"]}, "response": {"numFound": r["num_found"], "start": r["start"], "maxScore": r["max_score"], "docs": docs}})
 
 
 def as_xml(r: dict) -> str:
     tag = {"integer": "int", "date": "date"}
-    out = ['<?xml version="1.0" encoding="UTF-8"?>', f'<response><result name="response" numFound="{r["num_found"]}" start="{r["start"]}" maxScore="{r["max_score"]}">']
+    asked = "".join(f"<str name={quoteattr(k)}>{escape(v)}</str>" for k, v in sorted(r["params"].items()))
+    header = f'<lst name="responseHeader"><int name="status">0</int><int name="QTime">{r.get("qtime", 0)}</int><lst name="params">{asked}</lst></lst>'
+    out = ['<?xml version="1.0" encoding="UTF-8"?>', f'<response>{header}<result name="response" numFound="{r["num_found"]}" start="{r["start"]}" maxScore="{r["max_score"]}">']
     for d in r["docs"]:
         cells = "".join("<{0} name={1}>{2}</{0}>".format(tag.get(r["types"][k], "str"), quoteattr(k), escape(v)) for k, v in d["fields"].items())
         out.append(f'<doc><str name={quoteattr(r["key"])}>{escape(d["id"])}</str>{cells}</doc>')
@@ -92,21 +124,30 @@ def as_xml(r: dict) -> str:
 
 
 def update(engine: Engine, text: str, index: str = "search") -> Engine:
-    """The engine after an update in XML: add replaces documents of the same key, delete takes ids, 'index:id' or queries, commit and optimize change nothing."""
+    """The engine after an update in XML: add replaces documents of the same key, delete takes ids, 'index:id' or queries, commit and optimize change nothing.
+
+    Each document of an add stands for itself: of one id the last is stored, and
+    one that has nothing but its id is stored without postings.  Plans grow with
+    each update: ``streaming.ingest.Store`` is for many of them.
+    """
     kind, body = extract.update_command(text)
     schema = engine.schema(index)
     spark = engine.postings.sparkSession
     if kind in ("commit", "optimize"):
         return engine
     if kind == "add":
-        rows = []
+        last: dict[str, dict[str, str]] = {}
         for doc in body:
             ids = [v for n, v in doc if n == schema.unique_key]
             if not ids:
                 raise SearchError("required_field_not_found", schema.unique_key)
-            rows += [(ids[0], i, n, v) for i, (n, v) in enumerate(doc) if n != schema.unique_key]
-        docs = ix.from_fields(spark.createDataFrame(rows, extract.FIELDS), index)
-        new = ix.postings(docs, schema, sorted({r[2] for r in rows}))
+            fields: dict[str, str] = {}
+            for n, v in doc:
+                if n != schema.unique_key:
+                    fields[n] = f"{fields[n]} {v}" if n in fields else v
+            last[ids[0]] = fields  # of one id the last document stays
+        docs = spark.createDataFrame([(index, i, f) for i, f in last.items()], "index string, doc_id string, fields map<string,string>")
+        new = ix.postings(docs, schema, sorted({n for f in last.values() for n in f}))
         old_docs = engine.docs if engine.docs is not None else docs.limit(0)
         return _with(engine, ix.without(engine.postings, docs).unionByName(new), ix.upsert(old_docs.select(*docs.columns), docs))
     if kind != "delete":
@@ -126,5 +167,14 @@ def update(engine: Engine, text: str, index: str = "search") -> Engine:
     return _with(engine, ix.without(engine.postings, keys), None if engine.docs is None else ix.without(engine.docs, keys))
 
 
+def index_files(engine: Engine, paths: list[str], index: str = "search") -> Engine:
+    """The engine after the updates that some XML files hold, in order; a directory stands for its files by name."""
+    for p in paths:
+        for f in sorted(x for x in glob.glob(f"{p}/*") if os.path.isfile(x)) if os.path.isdir(p) else [p]:
+            with open(f, encoding="utf-8") as text:
+                engine = update(engine, text.read(), index)
+    return engine
+
+
 def _with(engine: Engine, postings: DataFrame, docs: DataFrame | None) -> Engine:
     return Engine(postings, engine.schemas, docs, engine.strict, engine.compat, engine.most)

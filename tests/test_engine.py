@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -10,6 +11,7 @@ from fathomlex.operators.engine import MOST_RESULTS, Engine
 from fathomlex.plans import registry
 from fathomlex.plans import schema as sc
 from fathomlex.sources import extract, solr
+from fathomlex.streaming import ingest
 from fathomlex.streaming.ingest import Store
 
 COLORS = "red orange yellow green blue indigo violet".split()
@@ -205,8 +207,109 @@ def test_streaming_upserts(spark, tmp_path):
         store.follow(spark.readStream.schema(kind).parquet(str(src)), str(tmp_path / "ckpt")).awaitTermination()
     e = Engine(store.postings(), {"s": s})
     assert [r["doc_id"] for r in e.match("s", "c").collect()] == ["1"] and e.count("s", "a") == 0 and store.version() == 1
-    store.apply(spark.createDataFrame([("9", {"v": "c"}, 9, False)], kind), 1)  # a batch that is repeated
+    (stream,) = store.state()["applied"]
+    store.apply(spark.createDataFrame([("9", {"v": "c"}, 9, False)], kind), 1, stream)  # a batch that is repeated
     assert store.docs().count() == 1
+    # another checkpoint reads all again: batches of a stream of its own, and nothing changes
+    store.follow(spark.readStream.schema(kind).parquet(str(src)), str(tmp_path / "other")).awaitTermination()
+    assert len(store.state()["applied"]) == 2 and [(r["doc_id"], r["key_clock"]) for r in store.docs().collect()] == [("1", 2)]
+    # a late write doesn't undo a delete, a later one does
+    store.apply(spark.createDataFrame([("2", {"v": "late"}, 2, False), ("7", {"v": "new"}, 1, False)], kind), 0, "third")
+    assert sorted(r["doc_id"] for r in store.docs().collect()) == ["1", "7"]
+    store.apply(spark.createDataFrame([("2", {"v": "later"}, 4, False)], kind), 1, "third")
+    assert sorted(r["doc_id"] for r in store.docs().collect()) == ["1", "2", "7"]
+
+
+def test_store_merges_its_tables(spark, tmp_path):
+    s = sc.parse("s", {"default_field": "v", "analyzer": "whitespace"}, [{"name": "v"}])
+    kind = "doc_id string, fields map<string,string>, key_clock bigint, deleted boolean"
+    store = Store(spark, str(tmp_path / "store"), s, fanout=3)
+    assert store.docs().count() == 0 == store.postings().count()
+    for i in range(9):
+        store.apply(spark.createDataFrame([(str(i % 4), {"v": f"x{i}"}, i, i % 3 == 2)], kind), i, "a")
+        assert len(store.state()["tables"]) <= 3
+    assert sorted((r["doc_id"], r["key_clock"]) for r in store.docs().collect()) == [("2", 6), ("3", 7)]
+
+
+def test_object_hook(spark, tmp_path):
+    """Objects of two buckets, one with an extractor of its own, replaced and deleted."""
+    s = sc.parse("s", {"default_field": "value", "analyzer": "whitespace"}, [{"name": "*"}])
+    kind = "bucket string, key string, content_type string, value binary, key_clock long, deleted boolean"
+    rows = [("b", "1", "application/json", b'{"a": "x y", "n": {"m": ["p", "q"]}}', 1, False), ("up", "2", "text/plain", b"shout", 1, None), ("b", "3", "text/plain", b"gone", 1, False), ("b", "3", "text/plain", b"gone", 2, True), ("b", "4", "application/json", b"{}", 1, False), ("b", None, "text/plain", b"x", 1, False)]
+    store = Store(spark, str(tmp_path / "store"), s)
+    store.apply(ingest.changes(spark.createDataFrame(rows, kind), s, {"up": lambda text, default: [(default, text.upper())]}), 0)
+    e = Engine(store.postings(), {"s": s}, store.docs())
+    ids = lambda q: sorted(r["doc_id"] for r in e.match("s", q).collect())
+    assert ids("a:y") == ids("n_m:q") == ["1"] and ids("SHOUT") == ["2"] and ids("gone") == [] and store.docs().count() == 3
+
+
+def test_bad_objects_are_named(spark):
+    rows = [("1", "application/json", b"{"), ("2", "application/json", b'{"a": 1}')]
+    d = spark.createDataFrame(rows, "key string, content_type string, value binary")
+    got = {r["doc_id"]: (r["name"], r["value"]) for r in extract.extracted(d, errors=True).collect()}
+    assert got["2"] == ("a", "1") and got["1"][0] is None and "JSONDecodeError" in got["1"][1]
+    with pytest.raises(Exception, match="can't be read"):
+        extract.extracted(d).collect()
+
+
+def test_updates_of_one_id_and_of_no_fields(spark):
+    s = sc.parse("b", {"default_field": "t", "analyzer": "standard"}, [{"name": "id"}, {"name": "t"}])
+    e = Engine(spark.createDataFrame([], ix.POSTINGS_KIND), {"b": s})
+    field = '<field name="{}">{}</field>'.format
+    e = solr.update(e, f"<add><doc>{field('id', 1)}{field('t', 'uno')}</doc><doc>{field('id', 1)}{field('t', 'dos')}</doc><doc>{field('id', 2)}{field('t', 'tres')}</doc></add>", "b")
+    assert e.count("b", "uno") == 0 and e.count("b", "dos") == 1 and e.docs.count() == 2
+    e = solr.update(e, f"<add><doc>{field('id', 2)}</doc></add>", "b")
+    assert e.count("b", "tres") == 0 and e.docs.count() == 2 and e.count("b", "dos") == 1
+
+
+def test_empty_tables_have_no_postings(spark):
+    s = sc.default("x")
+    empty = spark.createDataFrame([], "index string, doc_id string, fields map<string,string>")
+    assert ix.postings(empty, s).count() == 0 == ix.postings(empty, s, ["a"]).count()
+    bare = spark.createDataFrame([("x", "1", {})], empty.schema)
+    assert ix.postings(bare, s).count() == 0 and Engine(ix.postings(bare, s), {"x": s}).count("x", "q") == 0
+
+
+def test_properties_of_results(spark):
+    s = sc.parse("p", {"default_field": "v", "analyzer": "whitespace"}, [{"name": "v"}, {"name": "c", "inline": True}])
+    e = build(spark, s, [("1", {"v": "a b a", "c": "red"}), ("2", {"v": "b", "c": "blue"})])
+    got = {r["doc_id"]: (r["positions"], r["inline"]) for r in e.match("p", "a OR b", props=True).collect()}
+    assert got == {"1": ({"v:a": [0, 2], "v:b": [1]}, {"c": ["red"]}), "2": ({"v:b": [0]}, {"c": ["blue"]})}
+    assert e.match("p", "(a)", props=True).columns == ["index", "doc_id", "score", "positions", "inline"]
+
+
+def test_aliases_merge_in_the_documents_order(spark):
+    s = sc.parse("p", {"default_field": "v", "analyzer": "whitespace"}, [{"name": "v", "aliases": ["b", "a"]}])
+    rows = spark.createDataFrame([("1", 0, "b", "one"), ("1", 1, "a", "two"), ("1", 2, "v", "three"), ("2", 0, "a", "two"), ("2", 1, "b", "one")], extract.FIELDS)
+    e = Engine(ix.postings(ix.from_fields(rows, "p"), s), {"p": s})
+    assert [r["doc_id"] for r in e.match("p", '"one two three"').collect()] == ["1"] and [r["doc_id"] for r in e.match("p", '"two one"').collect()] == ["2"]
+
+
+def test_stored_term_counts_give_the_same_scores(spark, tmp_path, hundred):
+    ix.save_stats(ix.term_stats(hundred.postings), str(tmp_path / "stats"))
+    e = Engine(hundred.postings, hundred.schemas, stats=spark.read.parquet(str(tmp_path / "stats")))
+    for q in ("color:red OR acc:AFA OR acc:NONE", "parity:even AND color:[blue TO red]"):
+        score = lambda x: {r["doc_id"]: round(r["score"], 12) for r in x.match("test", q, scored=True).collect()}
+        assert score(e) == score(hundred)
+
+
+def test_large_documents_are_named(spark):
+    s = sc.parse("p", {"default_field": "v", "analyzer": "whitespace"}, [{"name": "v"}])
+    docs = spark.createDataFrame([("p", "1", {"v": "x " * 500}), ("p", "2", {"v": "x"})], "index string, doc_id string, fields map<string,string>")
+    assert [r["doc_id"] for r in ix.sizes(ix.postings(docs, s), docs, 1000).collect()] == ["1"]
+
+
+def test_responses_and_files(spark, tmp_path):
+    s = sc.parse("b", {"default_field": "t", "analyzer": "standard"}, [{"name": "id"}, {"name": "t"}])
+    e = Engine(spark.createDataFrame([], ix.POSTINGS_KIND), {"b": s})
+    (tmp_path / "1.xml").write_text('<add><doc><field name="id">1</field><field name="t">quick fox</field></doc><doc><field name="id">2</field><field name="t">fox</field></doc></add>')
+    (tmp_path / "2.xml").write_text("<delete><id>2</id></delete>")
+    e = solr.index_files(e, [str(tmp_path)], "b")
+    r = json.loads(solr.respond(e, {"q": "fox", "wt": "json"}, "b"))
+    assert r["response"]["numFound"] == 1 and r["responseHeader"]["params"]["q"] == "fox" and r["responseHeader"]["QTime"] >= 0
+    assert '<str name="q">fox</str>' in solr.respond(e, {"q": "fox"}, "b") and '<int name="QTime">' in solr.respond(e, {"q": "fox"}, "b")
+    with pytest.raises(SearchError, match="too_many_results"):
+        solr.select(Engine(e.postings, e.schemas, e.docs, most=0), {"q": "fox", "sort": "t asc"}, "b", "global")
 
 
 def test_saved_postings(spark, tmp_path, hundred):
