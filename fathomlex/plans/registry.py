@@ -368,3 +368,6 @@ ORACLE["solr_select"] = f"""{_BASE}, l AS (SELECT doc_id, 'x' AS term, 1 AS tf F
 k AS (SELECT power(1 + ln((n + 1.0) / ((SELECT count(*) FROM post WHERE term = 'from') + 1)), 2) AS f FROM n_docs),
 hit AS (SELECT post.doc_id, sqrt(post.tf) * f AS s FROM post JOIN l USING (doc_id), k WHERE post.term = 'from')
 SELECT h.doc_id, lang, CAST(n_chars AS VARCHAR) AS n_chars, (SELECT count(*) FROM hit) AS num_found FROM (SELECT * FROM hit ORDER BY s DESC, doc_id LIMIT 15) h JOIN t ON h.doc_id = t.doc_id"""
+
+
+from . import registry_more  # noqa: E402, F401  (adds its queries to these)

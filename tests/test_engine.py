@@ -340,3 +340,21 @@ def test_command_line(spark, tmp_path, capsys):
     main(["explain", str(tmp_path / "ix"), "fox"])
     out = capsys.readouterr().out
     assert "a.txt" in out and "b.txt" not in out and "TermLeaf" in out
+    (tmp_path / "in" / "b.txt").unlink()
+    main(["delete", str(tmp_path / "ix"), str(tmp_path / "in")])
+    main(["search", str(tmp_path / "ix"), "dog"])
+    main(["search", str(tmp_path / "ix"), "fox"])
+    out = capsys.readouterr().out
+    assert "b.txt" in out and "a.txt" not in out
+
+
+def test_command_line_of_updates(spark, tmp_path, capsys):
+    from fathomlex.__main__ import main
+
+    (tmp_path / "s.json").write_text(json.dumps({"name": "n", "settings": {"default_field": "t", "analyzer": "standard"}, "fields": [{"name": "id"}, {"name": "t"}]}))
+    (tmp_path / "u.xml").write_text('<add><doc><field name="id">one</field><field name="t">quick fox</field></doc></add>')
+    main(["set-schema", str(tmp_path / "ix"), str(tmp_path / "s.json")])
+    main(["solr", str(tmp_path / "ix"), str(tmp_path / "u.xml")])
+    main(["solr", str(tmp_path / "ix"), str(tmp_path / "u.xml")])
+    main(["search", str(tmp_path / "ix"), "fox"])
+    assert capsys.readouterr().out.count("one") == 1
