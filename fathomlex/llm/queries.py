@@ -147,3 +147,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_token_counts"] = op6_token_counts
+
+
+def token_counts_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the tokenizer that SQL knows too."""
+    return tokencounts.totals(table(spark, sf_dir, "documents"), ("words-1",))
+
+
+QUERIES["token_counts_of_words"] = token_counts_of_words
+ORACLE["token_counts_of_words"] = f"""SELECT source, lang, 'words-1' AS tokenizer, count(*) AS docs, CAST(sum(coalesce(len({_WORDS}), 0)) AS BIGINT) AS tokens, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS chars
+FROM documents GROUP BY source, lang"""

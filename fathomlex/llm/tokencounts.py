@@ -20,7 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -38,42 +38,48 @@ FANOUT = 8
 Counter = Callable[[pa.Array], np.ndarray]
 
 
-def word_counter() -> Counter:
+class WordCounter:
     """Words as ``kernels`` defines them."""
-    return lambda texts: np.diff(K.words(texts).offsets)
 
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        return np.diff(K.words(texts).offsets)
 
-def rank_counter(path: str) -> Counter:
-    """Tokens of a byte-level BPE rank file; long texts are counted whole."""
-    held: list = []
 
-    def count(texts: pa.Array) -> np.ndarray:
-        if not held:
-            import tiktoken
+class RankCounter:
+    """Tokens of a byte-level BPE rank file, which is read where this is made, on the driver; long texts are counted whole."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, "rb") as f:
+            self.data = f.read()
+        self.encoding = None
+
+    def __getstate__(self) -> dict:
+        return {"data": self.data, "encoding": None}
 
-            with open(path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            held.append(tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}))
-        return np.array([len(held[0].encode_ordinary(t)) if t else 0 for t in texts.to_pylist()], np.int64)
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        if self.encoding is None:
+            import tiktoken
 
-    return count
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.data.splitlines())}
+            self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return np.array([len(self.encoding.encode_ordinary(t)) if t else 0 for t in texts.to_pylist()], np.int64)
 
 
 #: Makers of counters by tokenizer version; a version, once used, keeps its meaning.
 TOKENIZERS: dict[str, Callable[[], Counter]] = {
-    "words-1": word_counter,
-    "byte_bpe_50k-1": lambda: rank_counter(os.path.join(FOLDER, "byte_bpe_50k.tiktoken")),
-    "byte_bpe_multi_50k-1": lambda: rank_counter(os.path.join(FOLDER, "byte_bpe_multi_50k.tiktoken")),
+    "words-1": WordCounter,
+    "byte_bpe_50k-1": lambda: RankCounter(os.path.join(FOLDER, "byte_bpe_50k.tiktoken")),
+    "byte_bpe_multi_50k-1": lambda: RankCounter(os.path.join(FOLDER, "byte_bpe_multi_50k.tiktoken")),
 }
 
 
 def counted(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, source, lang, tokenizer, tokens, chars, digest) of every row of ``docs``; a null text counts 0 of both and has no digest."""
-    make = TOKENIZERS[tokenizer]
     small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(TOKENIZERS[tokenizer]())
 
     def run(batches):
-        count = make()
+        count = shared.value
         for b in batches:
             for c in K.chunks(b):
                 yield pa.record_batch([*(col(c, n) for n in ("doc_id", "source", "lang", "chars", "digest")), pa.array(count(col(c, "text")).astype(np.int64))], ["doc_id", "source", "lang", "chars", "digest", "tokens"])
@@ -99,6 +105,13 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
     return deletes(old).unionByName(inserts(new))
 
 
+def without_copies(rows: DataFrame) -> DataFrame:
+    """Signed rows that leave one of each text and tokenizer: all of them out, and that of the least doc_id (nulls last; then the least source and language) in again. No text's rows meet in one place."""
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "source", "lang", "tokens", "chars")
+    one = rows.where("digest IS NOT NULL").groupBy("tokenizer", "digest").agg(F.min(order).alias("o")).select("tokenizer", "o.*")
+    return deletes(rows.where("digest IS NOT NULL")).unionByName(inserts(one))
+
+
 class Rollup:
     """Additive totals in a folder: one committed delta table a batch, and merged ones."""
 
@@ -129,7 +142,7 @@ class Rollup:
         out = fs.create(path(part), True)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        if not fs.rename(path(part), path(name + ".done")):
+        if fs.exists(path(name + ".done")) or not fs.rename(path(part), path(name + ".done")):
             raise RuntimeError(f"version {state['version']} was committed by another writer")
 
     def _read(self, deltas: list[str]) -> DataFrame:
@@ -179,9 +192,7 @@ def maintain(docs: DataFrame, tokenizer: str = "byte_bpe_50k-1", path: str | Non
     spark = docs.sparkSession
     rollup = Rollup(spark, path)
     rows = written(counted(docs, tokenizer), "counted")
-    by_text = Window.partitionBy("digest").orderBy(F.col("doc_id").asc_nulls_last(), "source", "lang")
-    copies = rows.where("digest IS NOT NULL").withColumn("_n", F.row_number().over(by_text)).where("_n > 1").drop("_n")
-    for batch, changes in (("load", inserts(estimates(rows))), ("recount", revisions(estimates(rows), rows)), ("load", inserts(estimates(rows))), ("copies", deletes(copies))):
+    for batch, changes in (("load", inserts(estimates(rows))), ("recount", revisions(estimates(rows), rows)), ("load", inserts(estimates(rows))), ("copies", without_copies(rows))):
         rollup.commit(batch, changes)  # the second "load" is a retry and changes nothing
     return rollup.totals()
 
@@ -197,9 +208,9 @@ def totals(docs: DataFrame, tokenizers: Sequence[str] = tuple(TOKENIZERS), path:
     rollup = Rollup(docs.sparkSession, path)
     rows = written(reduce(DataFrame.unionByName, (counted(docs, t) for t in tokenizers)), "counted")
     first, others = (rows.where(F.col("tokenizer") == tokenizers[0]), rows.where(F.col("tokenizer") != tokenizers[0]))
-    by_text = Window.partitionBy("tokenizer", "digest").orderBy(F.col("doc_id").asc_nulls_last(), "source", "lang")
-    copies = rows.where("digest IS NOT NULL").withColumn("_n", F.row_number().over(by_text)).where("_n > 1").drop("_n")
+    copies = without_copies(rows)
+    back = copies.select(*KEYS, *((-F.col(c)).alias(c) for c in SUMS))
     load = inserts(estimates(first))
-    for batch, changes in (("load", load), ("recount", revisions(estimates(first), first)), ("load", load), ("others", inserts(others)), ("copies", deletes(copies)), ("copies back", inserts(copies))):
+    for batch, changes in (("load", load), ("recount", revisions(estimates(first), first)), ("load", load), ("others", inserts(others)), ("copies", copies), ("copies back", back)):
         rollup.commit(batch, changes)  # the second "load" is a retry and changes nothing
     return rollup.totals()

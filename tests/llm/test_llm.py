@@ -303,6 +303,162 @@ def test_8_edges(spark):
     assert len({round(r["score"], 9) for r in toxicity.classify(docs(spark), lab.limit(0)).collect() if r["score"] is not None}) == 1
 
 
+def test_4_em_against_loops():
+    rnd = np.random.default_rng(4)
+    m = len(quality.LABELLERS)
+    patterns = np.unique(np.where(rnd.random((40, m)) < 0.7, 0, rnd.integers(1, 3, (40, m))), axis=0)
+    counts = rnd.integers(1, 200, len(patterns)).astype(float)
+    got_ = quality.estimate(patterns, counts, rounds=25)
+    p = [[[0.985, 0.005, 0.01], [0.69, 0.01, 0.3]] for _ in range(m)]
+    p[-1] = [[0.1, 0.89, 0.01], [0.89, 0.1, 0.01]]
+    junk = 0.1
+    for _ in range(25):
+        post = []
+        for v in patterns:
+            good, bad = 1 - junk, junk
+            for j in range(m):
+                good, bad = good * p[j][0][v[j]], bad * p[j][1][v[j]]
+            post.append(bad / (good + bad))
+        new = [[[0.5] * 3, [0.5] * 3] for _ in range(m)]
+        for v, n, q in zip(patterns, counts, post):
+            for j in range(m):
+                new[j][0][v[j]] += n * (1 - q)
+                new[j][1][v[j]] += n * q
+        p = [[[x / sum(row) for x in row] for row in two] for two in new]
+        before, junk = junk, (sum(n * q for n, q in zip(counts, post)) + 1) / (counts.sum() + 2)
+        if abs(junk - before) < 1e-10:
+            break
+    assert abs(got_.junk - junk) < 1e-9 and np.allclose(got_.p, np.array(p), atol=1e-9)
+
+
+def test_4_scores_against_loops():
+    texts = ["Buy NOW!!! a1 a1 a1", "", "The cat sat on the mat.\nThe end", "x" * 50 + " y"]
+    w = np.random.default_rng(5).normal(size=quality.BUCKETS + 2)
+    x = quality.K.words(pa.array(texts))
+    got_ = quality.scores(pa.array(texts), x, w)
+    half = quality.BUCKETS // 2
+    for i, t in enumerate(texts):
+        said = WORD.findall(t.lower())
+        h = {u: int(quality.K.words(pa.array([u])).hash[0]) for u in said}
+        z = w[-1] + sum(w[h[u] % half] / len(said) for u in said) + sum(w[quality.BUCKETS] / len(said) for a, b in zip(said, said[1:]) if a == b)
+        shapes = []
+        for s in t.split():
+            kinds = ["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in s]
+            shapes.append("".join(c for k, c in enumerate(kinds) if k == 0 or kinds[k - 1] != c))
+        for s in shapes:
+            b = s.encode()
+            hs = int(quality.K.span_hash(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))[0])
+            z += w[hs % half + half] / len(shapes)
+        assert abs(got_[i] - 1 / (1 + np.exp(z))) < 1e-9
+
+
+def test_5_list_against_loops():
+    rnd = np.random.default_rng(6)
+    x = np.round(rnd.random((300, len(rules.stats.NAMES))), 1)
+    bad = ((x[:, 2] > 0.7) & (x[:, 4] <= 0.6)) | (x[:, 6] > 0.9)
+    bad ^= rnd.random(300) < 0.02
+
+    def covers(row, conditions):
+        return all(row[j] <= c if op == "<=" else row[j] > c for j, op, c in conditions)
+
+    def grown(rows):
+        conditions, here = [], rows
+        while True:
+            p, n = sum(b for _, b in here), sum(not b for _, b in here)
+            if not p or not n:
+                return conditions
+            best, pick = 1e-9, None
+            for j in range(x.shape[1]):
+                v = sorted(r[j] for r, _ in here)
+                for c in sorted({v[int(np.floor(q * (len(v) - 1)))] for q in np.linspace(0, 1, rules.CUTS + 1)[1:-1]}):
+                    for op in ("<=", ">"):
+                        inside = [b for r, b in here if covers(r, [(j, op, c)])]
+                        if sum(inside) and (gain := sum(inside) * (np.log2(sum(inside) / len(inside)) - np.log2(p / (p + n)))) > best:
+                            best, pick = gain, (j, op, float(c))
+            if pick is None:
+                return conditions
+            conditions.append(pick)
+            here = [(r, b) for r, b in here if covers(r, [pick])]
+
+    def worth(rows, conditions):
+        inside = [b for r, b in rows if covers(r, conditions)]
+        return (2 * sum(inside) - len(inside)) / len(inside) if inside else -1.0
+
+    left = [(i, r, b) for i, (r, b) in enumerate(zip(x, bad.tolist()))]
+    want = []
+    while any(b for _, _, b in left):
+        conditions = grown([(r, b) for i, r, b in left if i % 3 < 2])
+        rest = [(r, b) for i, r, b in left if i % 3 == 2]
+        while len(conditions) > 1 and worth(rest, conditions[:-1]) >= worth(rest, conditions):
+            conditions = conditions[:-1]
+        taken = [b for _, r, b in left if covers(r, conditions)]
+        right = (sum(taken) + 1) / (len(taken) + 2)
+        if not conditions or right < 0.9 or len(taken) < 5:
+            break
+        want.append((tuple((rules.stats.NAMES[j], op, c) for j, op, c in conditions), right))
+        left = [(i, r, b) for i, r, b in left if not covers(r, conditions)]
+    found = rules.learn(x, bad)
+    assert [(r.conditions, pytest.approx(r.right)) for r in found] == want and want
+
+
+def test_5_many_rules_are_learned():
+    """More rules and more conditions than any fixed small number."""
+    x = np.zeros((30 * 60, len(rules.stats.NAMES)))
+    x[:, 0] = np.repeat(np.arange(60), 30)
+    bad = np.repeat(np.arange(60) % 2 == 1, 30)
+    found = rules.learn(x, bad)
+    said = np.zeros(len(x), bool)
+    for r in found:
+        said |= np.logical_and.reduce([(x[:, 0] <= c) if op == "<=" else (x[:, 0] > c) for _, op, c in r.conditions])
+    assert len(found) > 24 and (said == bad).mean() > 0.95
+
+
+def test_8_calibration_against_min_max():
+    rnd = np.random.default_rng(7)
+    s, y = np.sort(rnd.normal(size=60)), (rnd.random(60) < 0.5).astype(float)
+    iso = boosting.fit_isotonic(s, y)
+    v = np.r_[0.5, y, 0.5]
+    n = len(v)
+    mean = lambda a, b: v[a : b + 1].mean()
+    want = [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+    assert np.allclose(iso(s), want[1:-1], atol=1e-12)
+
+
+def test_8_splits_against_loops():
+    rnd = np.random.default_rng(8)
+    x = np.round(rnd.random((120, 3)), 1)
+    y = ((x[:, 1] > 0.4) ^ (rnd.random(120) < 0.1)).astype(float)
+    t = boosting.fit_trees(x, y, rounds=2, depth=1, rate=0.5, l2=1.0)
+    p0 = (y.sum() + 1) / (len(y) + 2)
+    margin = np.full(len(y), np.log(p0 / (1 - p0)))
+    for k in range(2):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = p - y, p * (1 - p)
+        best = (1e-6, None)
+        for j in range(3):
+            for c in sorted(set(x[:, j]))[:-1]:
+                low = x[:, j] <= c
+                part = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+                gain = part(low) + part(~low) - g.sum() ** 2 / (h.sum() + 1)
+                if gain > best[0] + 1e-12:
+                    best = (gain, (j, c))
+        j, c = best[1]
+        low = x[:, j] <= c
+        value = [-0.5 * g[m].sum() / (h[m].sum() + 1) for m in (low, ~low)]
+        assert t.feature[k, 0] == j and abs(t.cut[k, 0] - c) < 1e-12 and np.allclose(t.value[k], value)
+        margin = margin + np.where(low, value[0], value[1])
+    assert np.allclose(t.margin(x), margin)
+
+
+def test_8_lexicon_has_no_cap(spark):
+    """More entries than the words of any fixed small list."""
+    words_ = [f"bad{i}word" for i in range(1800)]
+    rows_ = [(i, " ".join(words_)) for i in range(60)] + [(100 + i, "plain words here") for i in range(60)]
+    lab = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows_], "doc_id long, toxic int")
+    m = toxicity.fit(spark.createDataFrame(rows_, "doc_id long, text string"), lab)
+    assert len(m.lexicon.hash) > 1800
+
+
 # 6
 def test_6_counts_against_brute_force(spark):
     count = tokencounts.TOKENIZERS["byte_bpe_50k-1"]()
