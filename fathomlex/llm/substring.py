@@ -7,13 +7,19 @@ of all batches so far in immutable runs, sorted by fingerprint.  A new batch is
 merge-joined with the runs and with itself; windows of the fingerprints that
 occur in more than one document are read again from the texts and compared
 whole, under a second and independent hash.  Then the batch becomes a run of
-its own, and runs of one level are merged into one of the next.
+its own, and runs of one level are merged into one of the next.  A run is a
+bucketed table, sorted in each bucket: only the new batch's fingerprints move
+to meet it, run by run, and merging runs moves nothing.  Of the history's texts
+none but those of documents that share a fingerprint are looked into.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import bitmap
 from . import kernels as K
-from .common import col, documents, ints, map_chunks, map_gather, n_parts, new_path, spread, unblobbed, written
+from .common import col, documents, drop, ints, map_chunks, map_gather, n_parts, new_path, spread, unblobbed, written
 
 SPAN = 50
 K_WORDS = 25
@@ -75,37 +81,59 @@ class Index:
             stream.close()
 
     def _commit(self, m: dict) -> None:
+        """Write a manifest under a name of its own, then give it its version; an error if another writer has that."""
         fs, jvm = self._fs()
         name = f"{self.path}/manifest/{m['version']:09d}"
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(name + ".tmp"), True)
+        part = f"{name}.{uuid.uuid4().hex}.part"
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(part), True)
         out.write(bytearray(json.dumps(m).encode()))
         out.close()
-        fs.rename(jvm.org.apache.hadoop.fs.Path(name + ".tmp"), jvm.org.apache.hadoop.fs.Path(name + ".done"))
+        done = jvm.org.apache.hadoop.fs.Path(name + ".done")
+        if fs.exists(done) or not fs.rename(jvm.org.apache.hadoop.fs.Path(part), done):
+            raise RuntimeError(f"version {m['version']} was committed by another writer")
+
+    def run(self, r: list) -> DataFrame:
+        """A run as a table whose buckets Spark knows."""
+        _, path, buckets = r
+        name = "run_" + hashlib.sha1(path.encode()).hexdigest()
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(f"CREATE TABLE {name} (fp BIGINT, doc_id BIGINT) USING parquet CLUSTERED BY (fp) SORTED BY (fp, doc_id) INTO {buckets} BUCKETS LOCATION '{path}'")
+        return self.spark.table(name)
 
     def history(self, m: dict) -> DataFrame:
-        runs = [self.spark.read.schema("fp long, doc_id long").parquet(p) for _, p in m["runs"]]
-        out = runs[0] if runs else self.spark.createDataFrame([], "fp long, doc_id long")
-        for r in runs[1:]:
-            out = out.unionByName(r)
-        return out
+        return reduce(DataFrame.unionByName, (self.run(r) for r in m["runs"]), self.spark.createDataFrame([], "fp long, doc_id long"))
+
+    def _run(self, prints: DataFrame, level: int, buckets: int) -> list:
+        tag = uuid.uuid4().hex
+        to = f"{self.path}/run-{level}-{tag}"
+        name = "run_" + hashlib.sha1(to.encode()).hexdigest()
+        prints.repartition(buckets, "fp").write.format("parquet").option("path", to).bucketBy(buckets, "fp").sortBy("fp", "doc_id").saveAsTable(name)
+        return [level, to, buckets]
+
+    def _forget(self, r: list) -> None:
+        fs, jvm = self._fs()
+        self.spark.sql(f"DROP TABLE IF EXISTS run_{hashlib.sha1(r[1].encode()).hexdigest()}")
+        fs.delete(jvm.org.apache.hadoop.fs.Path(r[1]), True)
 
-    def _run(self, prints: DataFrame, level: int) -> list:
-        to = f"{self.path}/run-{level}-{new_path(self.spark, 'r').rsplit('-', 1)[1]}"
-        prints.repartitionByRange("fp").sortWithinPartitions("fp", "doc_id").write.parquet(to)
-        return [level, to]
+    def add(self, batch_id: str, prints: DataFrame, buckets: int) -> None:
+        """Append a batch's fingerprints as a run of so many buckets and compact; a batch id that is already there changes nothing.
 
-    def add(self, batch_id: str, prints: DataFrame) -> None:
-        """Append a batch's fingerprints as a run and compact; a batch id that is already there changes nothing."""
+        Runs that were merged are deleted once no manifest to come names them: a
+        reader works on the newest manifest.
+        """
         m = self.manifest()
         if batch_id in m["batches"]:
             return
-        runs = [*m["runs"], self._run(prints, 0)]
+        runs, gone = [*m["runs"], self._run(prints, 0, buckets)], []
         level = 0
         while len(same := [r for r in runs if r[0] == level]) > self.fanout:
             merged = self.history({"runs": same})
-            runs = [*(r for r in runs if r[0] != level), self._run(merged, level + 1)]
+            runs = [*(r for r in runs if r[0] != level), self._run(merged, level + 1, max(r[2] for r in same))]
+            gone += same
             level += 1
         self._commit({"version": m["version"] + 1, "batches": [*m["batches"], batch_id], "runs": runs})
+        for r in gone:
+            self._forget(r)
 
 
 def ingest(index: Index, batch_id: str, batch: DataFrame, history: DataFrame) -> DataFrame:
@@ -117,7 +145,8 @@ def ingest(index: Index, batch_id: str, batch: DataFrame, history: DataFrame) ->
     repeated windows of a document are one span; first_doc is the least id among
     the windows' first documents.  Rows without id or text and texts of fewer
     than ``SPAN`` words have no spans.  Rows that share an id count as one
-    document, never as a repeat of each other.
+    document, never as a repeat of each other.  Texts of any length are taken
+    whole; an empty batch has no spans.
     """
     spark = batch.sparkSession
     batch, history = documents(batch), documents(history)
@@ -126,11 +155,13 @@ def ingest(index: Index, batch_id: str, batch: DataFrame, history: DataFrame) ->
     m = index.manifest()
     if batch_id in m["batches"]:
         raise ValueError(f"batch {batch_id} is in the index")
-    old = index.history(m)
-    within = new.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).join(old.groupBy("fp").agg(F.lit(True).alias("old")), "fp", "left")
-    shared = written(within.where("old OR lo <> hi").select("fp"), "shared")
+    runs = [index.run(r) for r in m["runs"]]
+    own = new.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    found = [own.where("lo <> hi").select("fp"), *(own.select("fp").join(r, "fp", "left_semi") for r in runs)]
+    shared = written(reduce(DataFrame.unionByName, found).distinct(), "shared")
     hot = spark.sparkContext.broadcast(bitmap.of(shared, "fp"))
-    at_home = spark.sparkContext.broadcast(bitmap.of(new.unionByName(old).join(shared, "fp", "left_semi").select("doc_id"), "doc_id"))
+    homes = reduce(DataFrame.unionByName, (x.join(shared, "fp", "left_semi").select("doc_id") for x in (new, *runs)))
+    at_home = spark.sparkContext.broadcast(bitmap.of(homes, "doc_id"))
 
     def windows(c: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         x, place, gram = _windows(col(c, "text"))
@@ -175,7 +206,9 @@ def ingest(index: Index, batch_id: str, batch: DataFrame, history: DataFrame) ->
     island = runs.withColumn("fresh", fresh.cast("int")).withColumn("island", F.sum("fresh").over(by_doc))
     spans = island.groupBy("doc_id", "island").agg(F.min("lo").alias("start_word"), (F.max("hi") - F.min("lo") + (SPAN - 1)).alias("n_words"), F.min("src").alias("first_doc"))
     result = written(spans.select("doc_id", "start_word", "n_words", "first_doc"), "spans")
-    index.add(batch_id, new)
+    index.add(batch_id, new, max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    drop(new)
+    drop(shared)
     return result
 
 
@@ -183,6 +216,7 @@ def find_repeated_spans(docs: DataFrame, n_batches: int = 3, path: str | None =
     """The spans of all documents that documents of lesser id have, by ingesting ``docs`` batch by batch in the order of their ids.
 
     The result doesn't depend on ``n_batches``: (doc_id, start_word, n_words, first_doc).
+    An empty table has none; nulls, short texts and repeated rows are as in ``ingest``.
     """
     spark = docs.sparkSession
     docs = documents(docs)
@@ -193,6 +227,7 @@ def find_repeated_spans(docs: DataFrame, n_batches: int = 3, path: str | None =
         return out
     cut = [lo + (hi + 1 - lo) * i // n_batches for i in range(n_batches + 1)]
     for i in range(n_batches):
-        batch = docs.where((F.col("doc_id") >= cut[i]) & (F.col("doc_id") < cut[i + 1]))
+        to = F.col("doc_id") < cut[i + 1] if i + 1 < n_batches else F.lit(True)  # hi + 1 may be no long
+        batch = docs.where((F.col("doc_id") >= cut[i]) & to)
         out = out.unionByName(ingest(index, f"{i}", batch, docs.where(F.col("doc_id") < cut[i])))
     return out

@@ -541,10 +541,28 @@ def test_7_index_refuses_a_batch_twice_and_compacts(spark, tmp_path):
     ix = substring.Index(spark, str(tmp_path / "ix"), fanout=2)
     p = spark.createDataFrame([(1, 1)], "fp long, doc_id long")
     for i in range(6):
-        ix.add(str(i), p)
+        ix.add(str(i), p, 4)
     m = ix.manifest()
-    ix.add("0", p)
+    ix.add("0", p, 4)
     assert ix.manifest() == m and len(m["runs"]) < 6 and ix.history(m).count() == 6
+    assert sorted(x.name for x in (tmp_path / "ix").iterdir() if x.name.startswith("run")) == sorted(r[1].rsplit("/", 1)[1] for r in m["runs"])
+    with pytest.raises(RuntimeError, match="another writer"):
+        ix._commit(m)
+
+
+def test_7_runs_are_joined_where_they_lie(spark, tmp_path):
+    """A join with a run exchanges the batch's side alone, and so does none of a merge."""
+    ix = substring.Index(spark, str(tmp_path / "ix"))
+    ix.add("a", spark.range(1000).selectExpr("id AS fp", "id % 7 AS doc_id"), 8)
+    (r,) = ix.manifest()["runs"]
+    spark.sql(f"DROP TABLE run_{substring.hashlib.sha1(r[1].encode()).hexdigest()}")  # another session finds it by its path
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = spark.range(500, 2000).selectExpr("id AS fp").join(ix.run(r), "fp", "left_semi")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert j.count() == 500 and plan.count("Exchange") == 1 and "Bucketed: true" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 # 9
