@@ -14,27 +14,36 @@ from fathomlex.llm import common, decontaminate, linededup, ngramjoin, pieces, q
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps; rows without text and texts without a word go, rows without id are judged like all others, repeated rows stay or go together, an empty table stays empty."""
     return quality.keep_good(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that earlier documents or lines have; a document that has nothing but such lines goes."""
+    """Texts without the lines that earlier documents or lines have; a document that has nothing but such lines goes.
+
+    Rows without text and texts without a word stay; a row without id comes
+    after all others and is known by its text; repeated rows are one document;
+    an empty table stays empty.
+    """
     return linededup.without_repeats(docs)
 
 
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the least id."""
+    """One document of each class of near duplicates, that of the least id; repeated rows are one.
+
+    Rows without text and texts without a word stay; a row without id comes
+    after all others and is known by its text; an empty table stays empty.
+    """
     return ngramjoin.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no passage with the benchmark."""
+    """Documents that share no passage of 8 words with the benchmark; rows without text stay, rows without id are judged by their text, repeated rows stay or go together, an empty table stays empty."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text: (doc_id, ids, n_ids, exact)."""
+    """The ids of each text: (doc_id, ids, n_ids, exact), a row for each row; null ids for a null text, none for an empty one."""
     return pieces.encode(docs)
 
 
@@ -46,7 +55,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sentencepiece", encoded),
 ]
 
-#: The first stage learns a model, which SQL can't; tests hold the stages against brute force.
+#: The first stage learns a model, which SQL can't; tests/llm/test_pipeline.py holds the stages after it against comparing everything, one after another.
 ORACLE_SQL = None
 
 
