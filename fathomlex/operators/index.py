@@ -82,14 +82,17 @@ def postings(docs: DataFrame, schema: Schema, names: list[str] | None = None, cl
     for c, ns in by.items():
         placed = F.transform(tokens(_text(ns), *schema.analysis(c)), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
         cells.append(F.struct(F.lit(c).alias("field"), F.sort_array(F.filter(placed, lambda e: e["term"].isNotNull())).alias("at")))
-    spread = docs.repartition("index", "doc_id")
+    spark = docs.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # a number, or small inputs would become one partition
+    spread = docs.repartition(n, "index", "doc_id")
     rows = spread.select("index", "doc_id", inline_terms(docs, schema, names).alias("inline"), (clock if clock is not None else F.lit(0)).cast("long").alias("key_clock"), F.explode(F.array(*cells)).alias("c"))
     rows = rows.select("index", "doc_id", "inline", "key_clock", "c.field", F.col("c.at").alias("at"), F.size("c.at").alias("n")).where("n > 0")
     first = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == 0) | (F.col("at")[i]["term"] != F.col("at")[F.greatest(i - 1, F.lit(0))]["term"]))
     rows = rows.withColumn("first", first)
-    rows = rows.select("index", "doc_id", "inline", "key_clock", "field", "at", F.explode(F.arrays_zip(F.col("first").alias("lo"), F.concat(F.slice("first", 2, F.col("n")), F.array("n")).alias("hi"))).alias("r"))
-    positions = F.transform(F.slice("at", F.col("r.lo") + 1, F.col("r.hi") - F.col("r.lo")), lambda e: e["pos"])
-    return rows.select("index", "field", F.col("at")[F.col("r.lo")]["term"].alias("term"), "doc_id", positions.alias("positions"), "inline", "key_clock")
+    ends = F.arrays_zip(F.col("first").alias("lo"), F.concat(F.slice("first", 2, F.col("n")), F.array("n")).alias("hi"))
+    terms = F.transform(ends, lambda r: F.struct(F.col("at")[r["lo"]]["term"].alias("term"), F.transform(F.slice("at", r["lo"] + 1, r["hi"] - r["lo"]), lambda e: e["pos"]).alias("positions")))
+    rows = rows.select("index", "doc_id", "inline", "key_clock", "field", F.explode(terms).alias("r"))  # the tokens stay behind here
+    return rows.select("index", "field", "r.term", "doc_id", "r.positions", "inline", "key_clock")
 
 
 def sizes(postings_: DataFrame, docs: DataFrame, most: int) -> DataFrame:
