@@ -150,7 +150,7 @@ def ingest(index: Index, batch_id: str, batch: DataFrame, history: DataFrame) ->
     """
     spark = batch.sparkSession
     batch, history = documents(batch), documents(history)
-    parts = n_parts(history.unionByName(batch))
+    parts = 2 * n_parts(history.unionByName(batch))  # each part is sorted in memory
     new = written(map_chunks(batch, _prints, "fp long, doc_id long").distinct(), "prints")
     m = index.manifest()
     if batch_id in m["batches"]:
