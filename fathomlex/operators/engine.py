@@ -78,7 +78,8 @@ class Engine:
         """The rows of a page of some matches, and how many matches there are, counted as they pass."""
         seen = Observation()
         got = page(found.observe(seen, F.count(F.lit(1)).alias("n"))).collect()
-        n = seen.get["n"]
+        # an empty page may come of a plan that Spark cut short, which counts nothing
+        n = seen.get["n"] if got else found.count()
         if self.most is not None and n > self.most:
             raise SearchError("too_many_results", n)
         return got, n

@@ -61,6 +61,9 @@ def test_page_and_found(hundred):
     f = hundred.found("test", "acc:AAA OR acc:AJJ", rows=3)
     assert f.num_found == 100 and f.rows[0]["doc_id"] == "idAJJ" and f.max_score == f.rows[0]["score"] > f.rows[1]["score"]
     assert [r["doc_id"] for r in hundred.search("test", "parity:even", presort="key", start=2, rows=2).collect()] == ["idAAF", "idAAH"]
+    for q, n, options in (("nothere", 0, {}), ("ab", 0, {}), ("AAA", 100, {"start": 500}), ("AAA", 100, {"rows": 0})):
+        f = hundred.found("test", q, **options)
+        assert (f.rows, f.num_found, f.max_score) == ([], n, 0.0)
     with pytest.raises(SearchError):
         Engine(hundred.postings, hundred.schemas, most=10).found("test", "acc:AAA")
     assert {r["value"]: r["n"] for r in build(hundred.postings.sparkSession, sc.parse("f", {"default_field": "c", "analyzer": "whitespace"}, [{"name": "c", "inline": True}]), [("1", {"c": "x y"}), ("2", {"c": "x"})]).facets("f", "x", "c").collect()} == {"x": 2, "y": 1}
