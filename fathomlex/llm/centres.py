@@ -8,6 +8,7 @@ changes the work, never the links.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -18,6 +19,20 @@ from .common import multi_range
 from .setjoin import needed
 
 
+#: Matches of tokens with centres that are looked at together.
+SLICE = 1 << 18
+
+
+def _slices(count: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that have ``SLICE`` together or less, or are one row."""
+    done = np.r_[0, np.cumsum(count)]
+    a = 0
+    while a < len(count):
+        z = max(a + 1, int(np.searchsorted(done, done[a] + SLICE, "right")) - 1)
+        yield a, z
+        a = z
+
+
 def inner(t: Fraction) -> Fraction:
     """Similarity to a centre that makes a set a member of its ball."""
     return (1 + t) / 2
@@ -55,14 +70,22 @@ class Centres:
         lo, hi = np.searchsorted(self.token, tokens, "left"), np.searchsorted(self.token, tokens, "right")
         some = np.flatnonzero(hi > lo)
         count = (hi - lo)[some]
-        key, got = np.unique(np.repeat(own[some], count) * len(self.size) + self.of[multi_range(lo[some], count)], return_counts=True)
+        found = []
+        for a, z in _slices(count):
+            found.append(np.unique(np.repeat(own[some[a:z]], count[a:z]) * len(self.size) + self.of[multi_range(lo[some[a:z]], count[a:z])], return_counts=True))
+        key, got = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if len(found) > 1:
+            key, which = np.unique(key, return_inverse=True)
+            got = np.bincount(which, got).astype(np.int64)
         s, c = key // max(1, len(self.size)), key % max(1, len(self.size))
         ok = got >= self.votes[c]
         s, c = s[ok], c[ok]
-        row = np.repeat(np.arange(len(s)), n[s])
-        m = _mixed(tokens[multi_range(offsets[:-1][s], n[s])], c[row])
-        at = np.minimum(np.searchsorted(self.pairs, m), max(0, len(self.pairs) - 1))
-        both = np.bincount(row[self.pairs[at] == m], minlength=len(s)) if len(m) else np.zeros(len(s), np.int64)
+        both = np.zeros(len(s), np.int64)
+        for a, z in _slices(n[s]):
+            row = np.repeat(np.arange(a, z), n[s[a:z]])
+            m = _mixed(tokens[multi_range(offsets[:-1][s[a:z]], n[s[a:z]])], c[row])
+            at = np.minimum(np.searchsorted(self.pairs, m), max(0, len(self.pairs) - 1))
+            both[a:z] = np.bincount(row[self.pairs[at] == m] - a, minlength=z - a)
         ok = reach(both, n[s], self.size[c], outer(self.t))
         return s[ok], c[ok], both[ok]
 

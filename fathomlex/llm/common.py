@@ -118,9 +118,17 @@ def blobs(part: np.ndarray, rows: np.ndarray, parts: int) -> pa.RecordBatch:
     A blob has the first bytes of all its rows, then the second bytes and so
     on: bytes that are mostly alike lie together and compress away.
     """
-    order = np.argsort(part.astype(np.int16 if parts <= 1 << 15 else np.int64), kind="stable") if rows.dtype.names else np.lexsort((rows, part))
-    rows = rows[order]
-    cut = np.searchsorted(part[order], np.arange(parts + 1))
+    if rows.dtype == np.uint32:  # sorted as one number with the part: no index is held
+        both = part.astype(np.uint64) << np.uint64(32)
+        both |= rows
+        both.sort()
+        rows = both.astype(np.uint32)
+        cut = np.searchsorted(both, np.arange(parts + 1).astype(np.uint64) << np.uint64(32))
+        del both
+    else:
+        order = np.argsort(part.astype(np.int16 if parts <= 1 << 15 else np.int64), kind="stable") if rows.dtype.names else np.lexsort((rows, part))
+        rows = rows[order]
+        cut = np.searchsorted(part[order], np.arange(parts + 1))
     have = np.flatnonzero(cut[1:] > cut[:-1])
     size = rows.dtype.itemsize
     offsets = np.r_[cut[have], cut[-1:] if len(have) else [0]].astype(np.int64) * size

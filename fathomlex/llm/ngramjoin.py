@@ -19,9 +19,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,10 @@ MOST_CENTRES, MOST_TOKENS, MOST_BITS = 2048, 1 << 20, 1 << 28
 MEMBERS, VISITORS = 512, 2048
 #: Pairs of one block that are looked at together.
 SLICE = 1 << 18
+#: Distinct pairs of a part, and similar ones, that a task holds before it sends them on.
+HELD_PAIRS, HELD_LINKS = 1 << 18, 1 << 14
+#: What the broadcast levels begin with.
+_MARK = b"fathomlex levels of n-grams\n"
 _KEY = np.dtype("<u4")
 #: A key of a set: its place in the part, its level plus 8 if it is the set's lead, the set, its size, its n-grams from the key on, and 48 bits that stand for the lead and the n-gram after it.
 _ROW = np.dtype([("k", "<u4"), ("kind", "u1"), ("s", "<u8"), ("n", "<u4"), ("most", "<u4"), ("head", "<u4"), ("head2", "<u2")])
@@ -76,22 +82,47 @@ def _sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return K.distinct_by_doc(g, offsets)
 
 
-@dataclass
 class _Levels:
-    """Bits that tell how common n-grams are: for each level and part, 2**power of them from ``first`` on."""
+    """Bits that tell how common n-grams are: for each level and part, 2**power of them from ``first`` on.
+
+    They are one broadcast value, whose file workers map: those of an executor
+    share its pages, and none has a copy of its own.
+    """
+
+    def __init__(self, parts: int, data: Broadcast) -> None:
+        self.parts, self.data = parts, data
+
+    def __getstate__(self) -> dict:
+        return {"parts": self.parts, "data": self.data}
 
-    parts: int
-    first: np.ndarray
-    power: np.ndarray
-    bits: np.ndarray
+    @cached_property
+    def _all(self) -> np.ndarray:
+        path = getattr(self.data, "_path", None)  # none where broadcasts are encrypted
+        if path:
+            with open(path, "rb") as f:
+                at = f.read(256).find(_MARK)
+            if at >= 0:
+                return np.memmap(path, np.uint8, "r", at + len(_MARK))
+        return np.frombuffer(self.data.value, np.uint8)[len(_MARK) :]
+
+    @cached_property
+    def _tables(self) -> tuple[np.ndarray, np.ndarray]:
+        n = len(COMMON) * self.parts
+        first = np.frombuffer(self._all[: 8 * n].tobytes(), np.int64)
+        return first.reshape(-1, self.parts), self._all[8 * n : 9 * n].astype(np.int64).reshape(-1, self.parts)
+
+    @property
+    def bits(self) -> np.ndarray:
+        return self._all[9 * len(COMMON) * self.parts :]
 
     def of(self, part: np.ndarray, k: np.ndarray) -> np.ndarray:
+        bits = self.bits
         level = np.zeros(len(k), np.int64)
         alive = np.arange(len(k))
-        for first, power in zip(self.first, self.power):
+        for first, power in zip(*self._tables):
             p = part[alive]
             slot = first[p] + (k[alive].astype(np.int64) >> (32 - power[p]))
-            ok = (self.bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+            ok = (np.asarray(bits[slot >> 3]) >> (slot & 7).astype(np.uint8)) & 1 > 0
             alive = alive[ok]
             level[alive] += 1
         return level
@@ -101,7 +132,8 @@ def _levels(docs: DataFrame, n: int, parts: int) -> _Levels:
     """How common each n-gram is, counted over all documents and told in ``MOST_BITS`` bits a level at most: n-grams that share a bit count as the more common one."""
 
     def all_grams(c: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        return _place(_sets(col(c, "text"), n)[0], parts)
+        part, k = _place(_sets(col(c, "text"), n)[0], parts)
+        return part.astype(np.int32), k
 
     def bits(t_: pa.Table) -> pa.Table:
         k = unblobbed(t_, _KEY)
@@ -119,17 +151,22 @@ def _levels(docs: DataFrame, n: int, parts: int) -> _Levels:
             out.append(np.packbits(m, bitorder="little").tobytes())
         del k
         give_back()
-        return pa.table({"part": t_.column("part")[:1], "level": pa.array([list(range(len(COMMON)))], pa.list_(pa.int32())), "power": pa.array([powers], pa.list_(pa.int32())), "bits": pa.array([b"".join(out)], pa.binary())})
-
-    rows = map_gather(docs, all_grams, parts).groupBy("part").applyInArrow(bits, "part int, level array<int>, power array<int>, bits binary").select("part", "power", "bits").collect()
-    first, power = np.zeros((len(COMMON), parts), np.int64), np.full((len(COMMON), parts), 3, np.int64)
-    at, flat = 8, [b"\0"]
-    for r in rows:
-        flat.append(bytes(r["bits"]))
+        return pa.table({"part": t_.column("part")[:1], "power": pa.array([powers], pa.list_(pa.int32())), "bits": pa.array([b"".join(out)], pa.binary())})
+
+    rows = written(map_gather(docs, all_grams, parts).groupBy("part").applyInArrow(bits, "part int, power array<int>, bits binary"), "levels")
+    first, power = np.zeros((len(COMMON), parts), np.int64), np.full((len(COMMON), parts), 3, np.uint8)
+    flat = bytearray(len(_MARK) + 9 * first.size)
+    head = len(flat)
+    flat += b"\0"  # for parts without n-grams
+    for r in rows.toLocalIterator():  # the driver holds the bits once
+        at = 8 * (len(flat) - head)
+        flat += r["bits"]
         for i, p in enumerate(r["power"]):
             first[i, r["part"]], power[i, r["part"]] = at, p
             at += 1 << p
-    return _Levels(parts, first, power, np.frombuffer(b"".join(flat), np.uint8))
+    drop(rows)
+    flat[:head] = _MARK + first.tobytes() + power.tobytes()
+    return _Levels(parts, docs.sparkSession.sparkContext.broadcast(flat))
 
 
 def _in_order(tokens: np.ndarray, offsets: np.ndarray, levels: _Levels) -> np.ndarray:
@@ -190,26 +227,25 @@ def _keys(o: np.ndarray, offsets: np.ndarray, sets: np.ndarray, parts: int, t: F
     return part, out
 
 
-def _meet(r: np.ndarray, part: int, t: Fraction) -> np.ndarray:
-    """Pairs of sets that share a key, each with the key as (level, part, place): a number that ascends with the global order.
+def _meet(r: np.ndarray, part: int, t: Fraction) -> Iterator[np.ndarray]:
+    """Pairs of sets that share a key, piece by piece (a pair may be in several, to be summed), each with the key as (level, part, place): a number that ascends with the global order.
 
     Sets of the same lead and n-gram after it - near copies mostly - are a pair
     there and nowhere else; others must meet at several keys.
     """
-    found = []
+    found, held = [], 0
     r = r[np.lexsort((255 - r["kind"], r["s"], r["k"]))]
     r = r[np.r_[True, (r["k"][1:] != r["k"][:-1]) | (r["s"][1:] != r["s"][:-1])]]
     c = r["k"].astype(np.uint64) << _32 | r["n"].astype(np.uint64)
     order = np.argsort(c, kind="stable")
     r, c = r[order], c[order]
     longest = np.minimum(r["n"].astype(np.uint64) * np.uint64(t.denominator) // np.uint64(t.numerator), _LOW)
-    i = np.arange(len(r))
-    count = np.searchsorted(c, r["k"].astype(np.uint64) << _32 | longest, "right") - i - 1
+    count = np.searchsorted(c, r["k"].astype(np.uint64) << _32 | longest, "right") - np.arange(len(r)) - 1
     done = np.r_[0, np.cumsum(count)]
-    a = 0
-    while a < len(r):
-        z = max(a + 1, int(np.searchsorted(done, done[a] + SLICE, "right")) - 1)
-        x, y = np.repeat(i[a:z], count[a:z]), multi_range(i[a:z] + 1, count[a:z])
+    for lo in range(0, int(done[-1]), SLICE):
+        at = np.arange(lo, min(lo + SLICE, int(done[-1])))
+        x = np.searchsorted(done, at, "right") - 1
+        y = x + 1 + at - done[x]
         several = _several(np.minimum(r["n"][x], r["n"][y]))
         ok = np.minimum(r["most"][x], r["most"][y]) > setjoin.overlap_needed(r["n"][x], r["n"][y], t) - several
         same = (r["head"][x] == r["head"][y]) & (r["head2"][x] == r["head2"][y])
@@ -219,10 +255,12 @@ def _meet(r: np.ndarray, part: int, t: Fraction) -> np.ndarray:
         p, q = r["s"][x], r["s"][y]
         rows = np.stack([np.minimum(p, q).view(np.int64), np.maximum(p, q).view(np.int64), w, several, np.where(same, several, 1)], 1)
         found.append(_summed(rows))
-        if len(found) > 4:
-            found = [_summed(np.concatenate(found))]
-        a = z
-    return _summed(np.concatenate(found)) if found else np.zeros((0, 5), np.int64)
+        held += len(found[-1])
+        if held > HELD_PAIRS:
+            yield _summed(np.concatenate(found))
+            found, held = [], 0
+    if held:
+        yield _summed(np.concatenate(found))
 
 
 def _table(columns: list, schema: str) -> pa.Table:
@@ -279,12 +317,12 @@ def similar_sets(docs: DataFrame, n: int, t: Fraction) -> Similar:
     spark = docs.sparkSession
     docs = documents(docs)
     parts = n_parts(docs)
-    levels = spark.sparkContext.broadcast(_levels(docs, n, parts))
+    levels = _levels(docs, n, parts)
 
     def ids(c: pa.RecordBatch) -> pa.RecordBatch:
         tokens, offsets = _sets(col(c, "text"), n)
         some = np.diff(offsets) > 0
-        o = _in_order(tokens, offsets, levels.value)
+        o = _in_order(tokens, offsets, levels)
         below = _at_level(o, offsets, FAMILY)
         lead = np.zeros(len(below), np.uint64)
         has = below < np.diff(offsets)
@@ -308,12 +346,16 @@ def similar_sets(docs: DataFrame, n: int, t: Fraction) -> Similar:
 
     def keys(c: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         tokens, offsets, s = free(c)
-        return _keys(_in_order(tokens, offsets, levels.value), offsets, s, parts, t)
-
-    def meet(table: pa.Table) -> pa.Table:
-        rows = _meet(unblobbed(table, _ROW), table.column("part")[0].as_py(), t)
+        return _keys(_in_order(tokens, offsets, levels), offsets, s, parts, t)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        part, r = table.column("part")[0].as_py(), unblobbed(table, _ROW)
+        del table
+        for rows in _meet(r, part, t):
+            yield from in_batches(pa.table([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(5)], ["a", "b", "w", "several", "have"])).to_batches()
+        del r
         give_back()
-        return in_batches(pa.table([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(5)], ["a", "b", "w", "several", "have"]))
 
     pairs = map_gather(docs, keys, parts).groupBy("part").applyInArrow(meet, "a long, b long, w long, several long, have long")
     pairs = pairs.groupBy("a", "b", "several").agg(F.min("w").alias("w"), F.sum("have").alias("have")).where("have >= several")
@@ -326,13 +368,14 @@ def similar_sets(docs: DataFrame, n: int, t: Fraction) -> Similar:
                 tokens, offsets, s = free(c)
                 ok = bitmap.has(wanted.value, s)
                 tokens, offsets = tokens[np.repeat(ok, np.diff(offsets))], np.r_[0, np.cumsum(np.diff(offsets)[ok])]
-                yield pa.record_batch([pa.array(s[ok].view(np.int64)), setjoin.binaries(_in_order(tokens, offsets, levels.value), offsets)], ["s", "tokens"])
+                yield pa.record_batch([pa.array(s[ok].view(np.int64)), setjoin.binaries(_in_order(tokens, offsets, levels), offsets)], ["s", "tokens"])
         give_back()
 
     body = docs.mapInArrow(bodies, "s long, tokens binary").groupBy("s").agg(F.min("tokens").alias("tokens"))
     at_block = blocks.join(body, "s").withColumn("part", F.pmod(F.xxhash64("w"), F.lit(parts)).cast("int"))
 
-    def walk(table: pa.Table) -> pa.Table:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
         w, s = ints(table, "w"), ints(table, "s")
         flat, cut = setjoin.lists(col(table, "tokens"))
         order = np.argsort(w, kind="stable")
@@ -346,8 +389,13 @@ def similar_sets(docs: DataFrame, n: int, t: Fraction) -> Similar:
             for i, j, both in trie.join([x[np.searchsorted(x, start) :] for x in whole], [len(x) for x in whole], t):
                 a, b = (i, j) if s[rows[i]].astype(np.uint64) < s[rows[j]].astype(np.uint64) else (j, i)
                 out.append((s[rows[a]], s[rows[b]], both, len(whole[a]), len(whole[b])))
-        return _table(list(zip(*out)) if out else [[]] * 5, "a long,b long,common long,na long,nb long")
+                if len(out) >= HELD_LINKS:
+                    yield from _table(list(zip(*out)), links).to_batches()
+                    out = []
+        if out:
+            yield from _table(list(zip(*out)), links).to_batches()
 
+    links = "a long,b long,common long,na long,nb long"
     near = at_block.select("part", "w", "s", "tokens").groupBy("part").applyInArrow(walk, "a long, b long, common long, na long, nb long")
     near = written(near.groupBy("a", "b", "na", "nb").agg(F.max("common").alias("common")), "near")
     drop(blocks)
@@ -370,7 +418,7 @@ def _in_balls(docs: DataFrame, sets: DataFrame, n: int, t: Fraction, levels, mid
         row = np.r_[one, who]
         size = np.diff(offsets)[row]
         cut = np.r_[0, np.cumsum(size)]
-        o = _in_order(tokens, offsets, levels.value) if len(row) else tokens
+        o = _in_order(tokens, offsets, levels) if len(row) else tokens
         body = setjoin.binaries(o[multi_range(offsets[:-1][row], size)], cut)
         return pa.record_batch([pa.array(s[row].view(np.int64)), pa.array(np.r_[ball[one], where].astype(np.int32)), pa.array(np.arange(len(row)) < len(one)), body], ["s", "ball", "member", "tokens"])
 

@@ -107,12 +107,10 @@ class Trie:
         return [(self.order[y], have) for y, have in self.walk(known, size)]
 
 
-def join(sets: list[np.ndarray], sizes: list[int], t: Fraction) -> list[tuple[int, int, int]]:
+def join(sets: list[np.ndarray], sizes: list[int], t: Fraction) -> Iterator[tuple[int, int, int]]:
     """(i, j, common tokens) of all pairs of ``sets`` that reach similarity t."""
     trie = Trie(sets, sizes, t)
-    out = []
     for x in range(len(sets) - 1):
         for y, have in trie.walk(trie.seq[x], trie.size[x], x):
             a, b = trie.order[x], trie.order[y]
-            out.append((min(a, b), max(a, b), have))
-    return out
+            yield min(a, b), max(a, b), have

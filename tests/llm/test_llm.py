@@ -2,6 +2,7 @@ import dataclasses
 import os
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -139,6 +140,63 @@ def test_1_balls_are_exact():
         assert (b >= 0) == (max(close) >= 0.8) and (b < 0 or close[b] == max(close))
 
 
+def peak(f):
+    """MB that are held at once while ``f`` runs."""
+    tracemalloc.start()
+    try:
+        out = f()
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_1_levels_are_mapped(spark):
+    d = random_docs(3)
+    levels = ngramjoin._levels(spark.createDataFrame(d, "doc_id long, text string"), 2, 50)
+    assert isinstance(levels.bits, np.memmap)
+    df = Counter(np.concatenate([np.unique(ngramjoin._sets(pa.array([t]), 2)[0]) for _, t in d]).tolist())
+    g = np.array([*df, *range(1, 9)], np.uint64)
+    want = [sum(c >= least for least in ngramjoin.COMMON) for c in [*df.values(), *[0] * 8]]
+    level = levels.of(*ngramjoin._place(g, 50))
+    assert (level >= want).all() and (level == want).mean() > 0.9
+
+
+def test_1_many_sets_of_one_key_are_met_in_pieces():
+    m = 1700
+    r = np.zeros(m, ngramjoin._ROW)
+    r["k"], r["kind"], r["s"], r["n"], r["most"], r["head"] = 7, 2, np.arange(m) + 10, 12, 12, np.arange(m)
+    found, mb = peak(lambda: sum(len(np.atleast_2d(x)) for x in ngramjoin._meet(r, 3, Fraction(3, 5))))
+    assert found == m * (m - 1) // 2
+    assert mb < 120
+
+
+def test_1_pieces_have_all_pairs(monkeypatch):
+    rnd = np.random.default_rng(5)
+    r = np.zeros(600, ngramjoin._ROW)
+    r["k"], r["s"], r["kind"], r["n"], r["most"], r["head"] = rnd.integers(0, 9, 600), rnd.integers(0, 90, 600), 2, 12, 12, rnd.integers(0, 1 << 30, 600)
+    monkeypatch.setattr(ngramjoin, "SLICE", 50)
+    monkeypatch.setattr(ngramjoin, "HELD_PAIRS", 70)
+    pieces_ = list(ngramjoin._meet(r, 3, Fraction(3, 5)))
+    have = Counter()
+    for a, b, _, _, h in np.concatenate(pieces_).tolist():
+        have[a, b] += h
+    of = defaultdict(set)
+    for k, s in zip(r["k"].tolist(), r["s"].tolist()):
+        of[k].add(s)
+    assert len(pieces_) > 5 and have == Counter((a, b) for x in of.values() for a in x for b in x if a < b)
+
+
+def test_1_many_centres_are_looked_at_in_slices():
+    rnd = np.random.default_rng(9)
+    sets = [np.unique(np.r_[np.arange(60), rnd.integers(1000, 1 << 40, 60)]).astype(np.uint64) for _ in range(400)]
+    c = ngramjoin.centres.build(sets, Fraction(3, 5))
+    assert len(c.size) == 400
+    texts = [sets[i % 400] for i in range(300)]
+    (s, k, both), mb = peak(lambda: c.near(np.concatenate(texts), np.r_[0, np.cumsum([len(x) for x in texts])]))
+    assert set(zip(range(300), range(300))) <= set(zip(s.tolist(), k.tolist()))
+    assert mb < 90
+
+
 def test_1_edges(spark):
     assert got(ngramjoin.find_classes(empty(spark))) == []
     assert got(ngramjoin.find_classes(docs(spark))) == [(1, 1, 2), (2, 1, 2), (8, 1, 2)]
