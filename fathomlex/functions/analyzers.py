@@ -27,17 +27,21 @@ class Analyzer:
     python: Callable[[str, tuple[str, ...]], list[str | None]]
 
 
+#: Runs of letters and digits with single dots before or between. No group holds a repeated choice and nothing is given back, so no text is too long for the JVM's stack.
+RUNS = r"\.?[A-Za-z0-9]++(?:\.[A-Za-z0-9]++)*+"
+
+
 def _least(args: tuple[str, ...]) -> int:
     return int(args[0]) if args else 3
 
 
 def _standard(text: Column, args: tuple[str, ...]) -> Column:
-    runs = F.filter(F.regexp_extract_all(text, F.lit(r"((?:\.?[A-Za-z0-9])+)")), lambda t: F.length(t) >= _least(args))
+    runs = F.filter(F.regexp_extract_all(text, F.lit(RUNS), F.lit(0)), lambda t: F.length(t) >= _least(args))
     return F.transform(runs, lambda t: F.when(~F.lower(t).isin(STOPWORDS), F.lower(t)))
 
 
 def _standard_py(text: str, args: tuple[str, ...]) -> list[str | None]:
-    runs = (m.lower() for m in re.findall(r"(?:\.?[A-Za-z0-9])+", text) if len(m) >= _least(args))
+    runs = (m.lower() for m in re.findall(RUNS, text) if len(m) >= _least(args))
     return [None if t in STOPWORDS else t for t in runs]
 
 

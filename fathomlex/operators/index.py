@@ -6,7 +6,7 @@ postings:  index, field, term, doc_id, positions array<int>, inline map<string,a
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,28 +64,33 @@ def inline_terms(docs: DataFrame, schema: Schema, names: list[str]) -> Column:
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: F.size(e["value"]) > 0)) if entries else empty
 
 
-def postings(docs: DataFrame, schema: Schema, names: list[str] | None = None, clock: Column | None = None) -> DataFrame:
+def postings(docs: DataFrame, schema: Schema, names: list[str] | None = None, clock: Column | None = None, only: Mapping[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """All postings of ``docs``, one row a document. ``names``: the field names, if they are known, which saves a pass.
 
     Texts move once, by document.  A field's tokens are put in order and cut
     into terms within the row, so no token is shuffled or sorted with others; a
     document without fields, and an empty table, have no postings.
+
+    ``only`` has for each field that is asked for a condition on its terms: all
+    texts are analyzed, but other terms go before anything is put in order, and
+    texts stay where they are.
     """
     names = field_names(docs) if names is None else names
     by: dict[str, list[str]] = {}
     for n, c in _names(schema, names):
-        if schema.find(n).inline != "only":
+        if schema.find(n).inline != "only" and (only is None or c in only):
             by.setdefault(c, []).append(n)
     if not by:
         return docs.sparkSession.createDataFrame([], POSTINGS_KIND)
     cells = []
     for c, ns in by.items():
         placed = F.transform(tokens(_text(ns), *schema.analysis(c)), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
-        cells.append(F.struct(F.lit(c).alias("field"), F.sort_array(F.filter(placed, lambda e: e["term"].isNotNull())).alias("at")))
-    spark = docs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # a number, or small inputs would become one partition
-    spread = docs.repartition(n, "index", "doc_id")
-    rows = spread.select("index", "doc_id", inline_terms(docs, schema, names).alias("inline"), (clock if clock is not None else F.lit(0)).cast("long").alias("key_clock"), F.explode(F.array(*cells)).alias("c"))
+        cells.append(F.struct(F.lit(c).alias("field"), F.sort_array(F.filter(placed, _of(only[c] if only else Column.isNotNull))).alias("at")))
+    if only is None:
+        spark = docs.sparkSession
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # a number, or small inputs would become one partition
+        docs = docs.repartition(n, "index", "doc_id")
+    rows = docs.select("index", "doc_id", inline_terms(docs, schema, names).alias("inline"), (clock if clock is not None else F.lit(0)).cast("long").alias("key_clock"), F.explode(F.array(*cells)).alias("c"))
     rows = rows.select("index", "doc_id", "inline", "key_clock", "c.field", F.col("c.at").alias("at"), F.size("c.at").alias("n")).where("n > 0")
     first = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == 0) | (F.col("at")[i]["term"] != F.col("at")[F.greatest(i - 1, F.lit(0))]["term"]))
     rows = rows.withColumn("first", first)
@@ -95,6 +100,10 @@ def postings(docs: DataFrame, schema: Schema, names: list[str] | None = None, cl
     return rows.select("index", "field", "r.term", "doc_id", "r.positions", "inline", "key_clock")
 
 
+def _of(keep: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda e: keep(e["term"])
+
+
 def sizes(postings_: DataFrame, docs: DataFrame, most: int) -> DataFrame:
     """(index, doc_id, bytes) of documents whose fields and postings together take more than ``most`` bytes, about: a store may refuse them."""
     words = postings_.groupBy("index", "doc_id").agg(F.sum(F.octet_length("term") + 4 * F.size("positions")).alias("p"))

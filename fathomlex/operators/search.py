@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -25,29 +26,45 @@ def _ends(c: Column, b: bytes, low: bool, strict: bool) -> Column:
     return x < bound if strict else x <= bound
 
 
-def condition(leaf: TermLeaf | RangeLeaf) -> Column:
-    """The postings of a leaf."""
-    here = (F.col("index") == leaf.index) & (F.col("field") == leaf.field)
-    term = F.col("term")
+def has(leaf: TermLeaf | RangeLeaf, term: Column) -> Column:
+    """Whether a term of the leaf's field is one of the leaf's."""
     if isinstance(leaf, TermLeaf):
-        return here & (term == leaf.term)
+        return term == leaf.term
+    parts = []
     if leaf.prefix is not None:
-        here = here & term.startswith(leaf.prefix)
+        parts.append(term.startswith(leaf.prefix))
     if leaf.low is not None:
-        here = here & _ends(term, leaf.low, True, leaf.above)
+        parts.append(_ends(term, leaf.low, True, leaf.above))
     if leaf.high is not None:
-        here = here & _ends(term, leaf.high, False, leaf.below)
+        parts.append(_ends(term, leaf.high, False, leaf.below))
     if leaf.size is not None:
-        here = here & (F.octet_length("term") == leaf.size)
-    return here
+        parts.append(F.octet_length(term) == leaf.size)
+    return reduce(Column.__and__, parts, term.isNotNull())
+
+
+def condition(leaf: TermLeaf | RangeLeaf) -> Column:
+    """The postings of a leaf."""
+    return (F.col("index") == leaf.index) & (F.col("field") == leaf.field) & has(leaf, F.col("term"))
+
+
+def wanted(leaves: Sequence[TermLeaf | RangeLeaf]) -> dict[str, Callable[[Column], Column]]:
+    """By field the condition on its terms that any of the leaves puts: ``only`` of ``index.postings``."""
+    by: dict[str, list] = {}
+    for x in leaves:
+        by.setdefault(x.field, []).append(x)
+    return {name: _any(own) for name, own in by.items()}
+
+
+def _any(leaves: list) -> Callable[[Column], Column]:
+    return lambda term: reduce(Column.__or__, (has(x, term) for x in leaves))
 
 
 @dataclass
 class Weights:
-    """What scores need of the whole index: of each leaf its factor, then the norm and the number of terms."""
+    """What scores need of the whole index: of each leaf its factor, then the norm and the number of terms. Factors and norm are numbers, or columns beside the documents."""
 
-    factor: list[float]
-    norm: float
+    factor: list[float] | list[Column]
+    norm: float | Column
     n_terms: int
 
 
@@ -73,6 +90,39 @@ def weights(plan: Plan, df: list[int]) -> Weights:
     return Weights([i * i * b for i, b in zip(idf, boost)], norm, len(plan.leaves))
 
 
+def _counted(scan: DataFrame, plan: Plan, filter_: Column | None, in_phrase: set[int]) -> tuple[DataFrame, Weights]:
+    """Documents with what each leaf has in them, and their weights beside them, of one pass over the postings.
+
+    Both the documents and the counts of terms are made from one list a
+    document, whole, so that Spark moves these lists once and uses the exchange
+    twice.  Counts are of all postings, lists of those that pass the filter.
+    """
+    cells = [F.lit(True).alias("ok") if filter_ is None else F.coalesce(filter_, F.lit(False)).alias("ok")]
+    for i, leaf in enumerate(plan.leaves):
+        cells.append(F.when(condition(leaf), F.size("positions")).alias(f"n{i}"))
+        if i in in_phrase:
+            cells.append(F.when(condition(leaf), F.col("positions")).alias(f"p{i}"))
+    lists = scan.groupBy(*KEY).agg(F.collect_list(F.struct(*cells)).alias("hits"))
+
+    def of(name: str) -> Callable[[Column], Column]:
+        return lambda h: F.when(h["ok"], h[name])
+
+    def there(name: str) -> Callable[[Column], Column]:
+        return lambda h: h[name].isNotNull()
+
+    counts = [F.sum(F.size(F.filter("hits", there(f"n{i}")))) if isinstance(x, TermLeaf) else F.sum(F.lit(0)) for i, x in enumerate(plan.leaves)]
+    df = lists.agg(*(F.coalesce(c, F.lit(0)).cast("double").alias(f"_df{i}") for i, c in enumerate(counts)))
+    n_docs = reduce(Column.__add__, (F.col(f"_df{i}") for i in range(len(counts))))
+    idf = [1 + F.log((n_docs + 1) / (F.col(f"_df{i}") + 1)) for i in range(len(counts))]
+    boost = [x.boost if isinstance(x, TermLeaf) else 1.0 for x in plan.leaves]
+    norm = 1 / F.sqrt(1 + reduce(Column.__add__, ((k * b) * (k * b) for k, b in zip(idf, boost))))
+    beside = df.select(norm.alias("_norm"), *((k * k * b).alias(f"_w{i}") for i, (k, b) in enumerate(zip(idf, boost))))
+    each = [F.array_max(F.transform("hits", of(f"n{i}"))).alias(f"_n{i}") for i in range(len(counts))]
+    each += [F.array_max(F.transform("hits", of(f"p{i}"))).alias(f"_p{i}") for i in sorted(in_phrase)]
+    docs = lists.select(*KEY, *each).crossJoin(F.broadcast(beside))
+    return docs, Weights([F.col(f"_w{i}") for i in range(len(counts))], F.col("_norm"), len(counts))
+
+
 def _phrase(lists: list[Column]) -> Column:
     return F.exists(lists[0], lambda m: reduce(Column.__and__, (F.array_contains(p, m + k) for k, p in enumerate(lists[1:], 1)), F.lit(True)))
 
@@ -82,13 +132,15 @@ def _window(lists: list[Column], n: int) -> Column:
     return F.exists(F.concat(*lists), inside)
 
 
-def matches(postings: DataFrame, plan: Plan, filter_: Column | None = None, w: Weights | None = None, props: bool = False) -> DataFrame:
+def matches(postings: DataFrame, plan: Plan, filter_: Column | None = None, w: Weights | None = None, props: bool = False, counted: bool = False) -> DataFrame:
     """(index, doc_id, score) of the documents that the plan finds; without weights the score is null. No order.
 
     Postings hold (index, field, term, doc_id, positions, inline).  All leaves
     read one scan; phrases alone carry positions through the shuffle.  With
     ``props`` the result also has ``positions``, a map from 'field:term' to the
     places of each of the query's terms that the document has, and ``inline``.
+    With ``counted`` the weights come of the same scan: for postings that are
+    built as they are read. It leaves no room for ``props``.
     """
     more = ("positions", "inline") if props else ()
     if not plan.leaves or isinstance(plan.tree, Nothing):
@@ -104,17 +156,20 @@ def matches(postings: DataFrame, plan: Plan, filter_: Column | None = None, w: W
 
     visit(plan.tree)
     scan = postings.where(reduce(Column.__or__, (condition(x) for x in plan.leaves)))
-    if filter_ is not None:
-        scan = scan.where(filter_)
-    aggs = []
-    for i, leaf in enumerate(plan.leaves):
-        here = condition(leaf)
-        aggs.append(F.max(F.when(here, F.size("positions"))).alias(f"_n{i}"))
-        if i in in_phrase:
-            aggs.append(F.max(F.when(here, F.col("positions"))).alias(f"_p{i}"))
-    if props:
-        aggs += [F.map_from_entries(F.collect_set(F.struct(F.concat("field", F.lit(":"), "term"), "positions"))).alias("positions"), F.first("inline").alias("inline")]
-    docs = scan.groupBy(*KEY).agg(*aggs)
+    if counted:
+        docs, w = _counted(scan, plan, filter_, in_phrase)
+    else:
+        if filter_ is not None:
+            scan = scan.where(filter_)
+        aggs = []
+        for i, leaf in enumerate(plan.leaves):
+            here = condition(leaf)
+            aggs.append(F.max(F.when(here, F.size("positions"))).alias(f"_n{i}"))
+            if i in in_phrase:
+                aggs.append(F.max(F.when(here, F.col("positions"))).alias(f"_p{i}"))
+        if props:
+            aggs += [F.map_from_entries(F.collect_set(F.struct(F.concat("field", F.lit(":"), "term"), "positions"))).alias("positions"), F.first("inline").alias("inline")]
+        docs = scan.groupBy(*KEY).agg(*aggs)
     zero = F.lit(0.0)
 
     def value(i: int) -> tuple[Column, Column, Column]:

@@ -42,15 +42,14 @@ def docs(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
 
 def engine(spark: SparkSession, sf_dir: str, *fields: str) -> Engine:
     """An engine over documents; only the named fields are analyzed."""
-    d = docs(spark, sf_dir, *fields)
-    return Engine(ix.postings(d, DOCS, list(fields or ("text", "lang", "source", "n_chars"))), {"docs": DOCS}, d)
+    return Engine.over(docs(spark, sf_dir, *fields), DOCS, list(fields or ("text", "lang", "source", "n_chars")))
 
 
 def _other(spark: SparkSession, sf_dir: str, name: str, schema: sc.Schema, key: str, fields: dict[str, Column]) -> Engine:
     df = table(spark, sf_dir, name)
     df = df.select(F.col(key).alias("_key"), *(c.alias(n) for n, c in fields.items()))
     d = ix.from_columns(df, schema.name, "_key", {n: n for n in fields})
-    return Engine(ix.postings(d, schema, list(fields)), {schema.name: schema}, d)
+    return Engine.over(d, schema, list(fields))
 
 
 def customers(spark: SparkSession, sf_dir: str) -> Engine:
