@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.analyzers import tokens
+from ..functions.analyzers import placed, tokens
 from ..plans.schema import Schema
 
 POSTINGS = ("index", "field", "term", "doc_id", "positions", "inline", "key_clock")
@@ -21,7 +21,9 @@ POSTINGS_KIND = "index string, field string, term string, doc_id string, positio
 def from_columns(df: DataFrame, index: str, key: str, fields: Mapping[str, str]) -> DataFrame:
     """docs with the field of each entry (name: column of df) as text; null values are no fields; rows without key are left out."""
     pairs = F.map_from_entries(F.filter(F.array(*(F.named_struct(F.lit("key"), F.lit(n), F.lit("value"), F.col(c).cast("string")) for n, c in fields.items())), lambda e: e["value"].isNotNull()))
-    return df.where(F.col(key).isNotNull()).select(F.lit(index).alias("index"), F.col(key).cast("string").alias("doc_id"), pairs.alias("fields"))
+    doc_id = F.col(key).cast("string")
+    # the condition is on what joins are by, so that a join puts no other one into a part of a plan that reads docs twice
+    return df.where(doc_id.isNotNull()).select(F.lit(index).alias("index"), doc_id.alias("doc_id"), pairs.alias("fields"))
 
 
 def from_fields(rows: DataFrame, index: str) -> DataFrame:
@@ -84,8 +86,8 @@ def postings(docs: DataFrame, schema: Schema, names: list[str] | None = None, cl
         return docs.sparkSession.createDataFrame([], POSTINGS_KIND)
     cells = []
     for c, ns in by.items():
-        placed = F.transform(tokens(_text(ns), *schema.analysis(c)), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
-        cells.append(F.struct(F.lit(c).alias("field"), F.sort_array(F.filter(placed, _of(only[c] if only else Column.isNotNull))).alias("at")))
+        found = placed(_text(ns), *schema.analysis(c), only[c] if only else Column.isNotNull)
+        cells.append(F.struct(F.lit(c).alias("field"), F.sort_array(found).alias("at")))
     if only is None:
         spark = docs.sparkSession
         n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # a number, or small inputs would become one partition
@@ -100,10 +102,6 @@ def postings(docs: DataFrame, schema: Schema, names: list[str] | None = None, cl
     return rows.select("index", "field", "r.term", "doc_id", "r.positions", "inline", "key_clock")
 
 
-def _of(keep: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda e: keep(e["term"])
-
-
 def sizes(postings_: DataFrame, docs: DataFrame, most: int) -> DataFrame:
     """(index, doc_id, bytes) of documents whose fields and postings together take more than ``most`` bytes, about: a store may refuse them."""
     words = postings_.groupBy("index", "doc_id").agg(F.sum(F.octet_length("term") + 4 * F.size("positions")).alias("p"))
@@ -116,6 +114,19 @@ def term_stats(postings_: DataFrame) -> DataFrame:
     return postings_.groupBy("index", "field", "term").agg(F.count("*").alias("df"))
 
 
+def docs_stats(docs: DataFrame, schema: Schema, names: list[str]) -> DataFrame:
+    """``term_stats`` of the postings of ``docs``, counted without them: the distinct tokens of each row, where it lies."""
+    by: dict[str, list[str]] = {}
+    for n, c in _names(schema, names):
+        if schema.find(n).inline != "only":
+            by.setdefault(c, []).append(n)
+    if not by:
+        return term_stats(docs.sparkSession.createDataFrame([], POSTINGS_KIND))
+    cells = [F.struct(F.lit(c).alias("field"), F.array_distinct(tokens(_text(ns), *schema.analysis(c))).alias("terms")) for c, ns in by.items()]
+    rows = docs.select("index", F.explode(F.array(*cells)).alias("c")).select("index", "c.field", F.explode("c.terms").alias("term"))
+    return rows.where("term IS NOT NULL").groupBy("index", "field", "term").agg(F.count("*").alias("df"))
+
+
 def save_stats(stats: DataFrame, path: str) -> None:
     """Write term counts so that a query reads only its terms'."""
     stats.repartitionByRange("index", "field", "term").sortWithinPartitions("index", "field", "term").write.mode("overwrite").partitionBy("index", "field").parquet(path)

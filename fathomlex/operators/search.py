@@ -56,7 +56,9 @@ def wanted(leaves: Sequence[TermLeaf | RangeLeaf]) -> dict[str, Callable[[Column
 
 
 def _any(leaves: list) -> Callable[[Column], Column]:
-    return lambda term: reduce(Column.__or__, (has(x, term) for x in leaves))
+    terms = sorted({x.term for x in leaves if isinstance(x, TermLeaf)})
+    ranges = [x for x in leaves if isinstance(x, RangeLeaf)]
+    return lambda term: reduce(Column.__or__, [*([term.isin(terms)] if terms else []), *(has(x, term) for x in ranges)])
 
 
 @dataclass
