@@ -75,6 +75,7 @@ def plans_of(monkeypatch, spark, name):
 PASSES = {
     "score_group": 1,
     "score_bool": 1,
+    "num_found": 1,
 }
 
 
