@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SearchError
-from ..operators import index as ix
-from ..operators.engine import Engine
+from ..operators.engine import MOST_RESULTS, Engine
 from ..plans.schema import Schema
 from . import extract
 
@@ -70,31 +69,38 @@ def select(engine: Engine, params: dict[str, str], index: str = "search", sort_s
     if fields == [schema.unique_key]:
         docs = [{"id": r["doc_id"], "fields": {}} for r in found.rows]
         return _response(params, found.num_found, start, 0.0, docs, schema)
-    full = engine.fetched(page)
+    full = engine.fetched(_small(page, found.rows))
     full = sorted_page(full, schema, sort) if sort != "none" else full.orderBy("rank")
     docs = [{"id": r["doc_id"], "fields": {k: v for k, v in sorted(r["fields"].items()) if fields is None or k in fields}} for r in full.collect()]
     return _response(params, found.num_found, start, found.max_score, docs, schema)
 
 
 def _sorted_whole(engine: Engine, params: dict, index: str, sort: str, start: int, limit: int | None, fields: list[str] | None, options: dict) -> dict:
-    """The same with all results in the order of the sort, equal ones by score, before a page is taken."""
+    """The same with all results in the order of the sort, equal ones by score, before a page is taken. All matches move with their sort keys, and the page's documents alone with their fields."""
     schema = engine.schema(index)
-    all_ = engine.match(index, params["q"], params.get("filter"), True, **options).join(engine.docs, ["index", "doc_id"])
+    keys, cells = sort_keys(sort), []
+    for i, (name, _) in enumerate(keys):
+        c = F.col("fields")[name]
+        cells.append((c.cast("decimal(38,0)") if schema.find(name).type == "integer" else c).alias(f"_s{i}"))
+    all_ = engine.match(index, params["q"], params.get("filter"), True, **options).join(engine.docs.select("index", "doc_id", *cells), ["index", "doc_id"])
 
     def page(m: DataFrame) -> DataFrame:
-        order = []
-        for name, falls in sort_keys(sort):
-            c = F.col("fields")[name]
-            c = c.cast("decimal(38,0)") if schema.find(name).type == "integer" else c
-            order.append(c.desc_nulls_last() if falls else c.asc_nulls_first())
+        order = [F.desc_nulls_last(f"_s{i}") if falls else F.asc_nulls_first(f"_s{i}") for i, (_, falls) in enumerate(keys)]
         m = m.orderBy(*order, F.desc("score"), "doc_id").offset(start)
-        return m if limit is None else m.limit(limit)
+        return (m if limit is None else m.limit(limit)).select("index", "doc_id", "score")
 
     got, n = engine.counted(all_, page)
-    docs = [{"id": r["doc_id"], "fields": {k: v for k, v in sorted(r["fields"].items()) if fields is None or k in fields}} for r in got]
+    ranked = engine.postings.sparkSession.createDataFrame([(i, r["index"], r["doc_id"]) for i, r in enumerate(got)], "rank int, index string, doc_id string")
+    full = engine.fetched(_small(ranked, got)).orderBy("rank").collect() if got else []
+    docs = [{"id": r["doc_id"], "fields": {k: v for k, v in sorted(r["fields"].items()) if fields is None or k in fields}} for r in full]
     return _response(params, n, start, max((r["score"] for r in got), default=0.0), docs, schema)
 
 
+def _small(page: DataFrame, rows: list) -> DataFrame:
+    """A page that was made of rows here: unless it is very long, documents are joined where they lie."""
+    return F.broadcast(page) if len(rows) <= MOST_RESULTS else page
+
+
 def respond(engine: Engine, params: dict[str, str], index: str = "search", sort_scope: str = "page") -> str:
     """The response to a select request as text, in XML or, with wt=json, JSON; QTime counts milliseconds."""
     began = time.monotonic()
@@ -147,9 +153,7 @@ def update(engine: Engine, text: str, index: str = "search") -> Engine:
                     fields[n] = f"{fields[n]} {v}" if n in fields else v
             last[ids[0]] = fields  # of one id the last document stays
         docs = spark.createDataFrame([(index, i, f) for i, f in last.items()], "index string, doc_id string, fields map<string,string>")
-        new = ix.postings(docs, schema, sorted({n for f in last.values() for n in f}))
-        old_docs = engine.docs if engine.docs is not None else docs.limit(0)
-        return _with(engine, ix.without(engine.postings, docs).unionByName(new), ix.upsert(old_docs.select(*docs.columns), docs))
+        return engine.upsert(docs, schema, sorted({n for f in last.values() for n in f}))
     if kind != "delete":
         raise SearchError("unknown_command", kind)
     keys = None
@@ -164,7 +168,7 @@ def update(engine: Engine, text: str, index: str = "search") -> Engine:
         keys = k if keys is None else keys.unionByName(k)
     if keys is None:
         return engine
-    return _with(engine, ix.without(engine.postings, keys), None if engine.docs is None else ix.without(engine.docs, keys))
+    return engine.without(keys)
 
 
 def index_files(engine: Engine, paths: list[str], index: str = "search") -> Engine:
@@ -174,7 +178,3 @@ def index_files(engine: Engine, paths: list[str], index: str = "search") -> Engi
             with open(f, encoding="utf-8") as text:
                 engine = update(engine, text.read(), index)
     return engine
-
-
-def _with(engine: Engine, postings: DataFrame, docs: DataFrame | None) -> Engine:
-    return Engine(postings, engine.schemas, docs, engine.strict, engine.compat, engine.most)

@@ -76,6 +76,7 @@ PASSES = {
     "score_group": 1,
     "score_bool": 1,
     "num_found": 1,
+    "solr_delete": 2,
 }
 
 
