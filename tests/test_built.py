@@ -77,6 +77,7 @@ PASSES = {
     "score_bool": 1,
     "num_found": 1,
     "solr_delete": 2,
+    "inline_filter_minus": 1,
 }
 
 
