@@ -78,6 +78,7 @@ PASSES = {
     "num_found": 1,
     "solr_delete": 2,
     "inline_filter_minus": 1,
+    "inline_filter_glob": 1,
 }
 
 
