@@ -79,6 +79,7 @@ PASSES = {
     "solr_delete": 2,
     "inline_filter_minus": 1,
     "inline_filter_glob": 1,
+    "solr_select": 1,
 }
 
 
