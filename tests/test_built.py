@@ -80,6 +80,7 @@ PASSES = {
     "inline_filter_minus": 1,
     "inline_filter_glob": 1,
     "solr_select": 1,
+    "sorted_whole": 1,
 }
 
 
