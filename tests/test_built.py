@@ -81,6 +81,7 @@ PASSES = {
     "inline_filter_glob": 1,
     "solr_select": 1,
     "sorted_whole": 1,
+    "presort_key": 1,
 }
 
 
