@@ -82,6 +82,7 @@ PASSES = {
     "solr_select": 1,
     "sorted_whole": 1,
     "presort_key": 1,
+    "score_phrase": 1,
 }
 
 
