@@ -83,6 +83,7 @@ PASSES = {
     "sorted_whole": 1,
     "presort_key": 1,
     "score_phrase": 1,
+    "response_xml": 1,
 }
 
 
