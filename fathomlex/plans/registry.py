@@ -144,7 +144,7 @@ ORACLE["postings_build"] = f"WITH {_T}, {_P} SELECT doc_id, term, CAST(count(*)
 
 
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine(spark, sf_dir, "text", "lang").postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+    return engine(spark, sf_dir, "text", "lang").term_stats().select("field", "term", "df")
 
 
 QUERIES["term_df"] = term_df
@@ -271,11 +271,9 @@ ORACLE["upsert_lww"] = "SELECT CAST(user_id AS VARCHAR) AS doc_id, arg_max(event
 
 def upsert_replaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of one source written again with another text: old terms are gone, new ones there."""
-    d = docs(spark, sf_dir, "text", "source")
-    old = ix.postings(d, DOCS, ["text", "source"])
-    fresh = d.where(F.col("fields")["source"] == "src1").withColumn("fields", F.map_from_arrays(F.array(F.lit("text"), F.lit("source")), F.array(F.lit("quite another text"), F.lit("src1"))))
-    new = ix.upsert(old, ix.postings(fresh, DOCS, ["text", "source"]))
-    return Engine(new, {"docs": DOCS}).match("docs", "from OR another").select("doc_id")
+    e = engine(spark, sf_dir, "text", "source")
+    fresh = e.docs.where(F.col("fields")["source"] == "src1").withColumn("fields", F.map_from_arrays(F.array(F.lit("text"), F.lit("source")), F.array(F.lit("quite another text"), F.lit("src1"))))
+    return e.upsert(fresh, DOCS, ["text", "source"]).match("docs", "from OR another").select("doc_id")
 
 
 QUERIES["upsert_replaces"] = upsert_replaces
@@ -285,7 +283,7 @@ ORACLE["upsert_replaces"] = f"{_BASE} SELECT doc_id FROM t WHERE source = 'src1'
 def delete_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = engine(spark, sf_dir, "text")
     gone = spark.createDataFrame([("docs", str(i)) for i in range(0, 50)], "index string, doc_id string")
-    return Engine(ix.without(e.postings, gone), e.schemas).match("docs", "from").select("doc_id")
+    return e.without(gone).match("docs", "from").select("doc_id")
 
 
 QUERIES["delete_by_id"] = delete_by_id
@@ -294,7 +292,7 @@ ORACLE["delete_by_id"] = f"{_BASE} SELECT doc_id FROM t WHERE {_has('from')} AND
 
 def delete_by_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = engine(spark, sf_dir, "text")
-    return Engine(ix.without(e.postings, e.delete_by_query("docs", "tion OR ther")), e.schemas).match("docs", "from").select("doc_id")
+    return e.without(e.delete_by_query("docs", "tion OR ther")).match("docs", "from").select("doc_id")
 
 
 QUERIES["delete_by_query"] = delete_by_query

@@ -84,6 +84,7 @@ PASSES = {
     "presort_key": 1,
     "score_phrase": 1,
     "response_xml": 1,
+    "delete_by_query": 2,
 }
 
 
