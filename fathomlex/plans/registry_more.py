@@ -77,8 +77,7 @@ def terms_added_and_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("map<string,array<string>>")
     more = own.where("source = 'src1'").select("index", F.lit("text").alias("field"), F.lit("added").alias("term"), "doc_id", F.array(F.lit(0)).alias("positions"), none.alias("inline"), F.lit(1).cast("long").alias("key_clock"))
     gone = own.where("lang = 'en'").select("index", F.lit("text").alias("field"), F.lit("from").alias("term"), "doc_id", F.lit(5).cast("long").alias("key_clock"))
-    p = ix.without_terms(ix.add_terms(e.postings, more), gone)
-    return Engine(p, e.schemas).match("docs", "added OR from").select("doc_id")
+    return e.changed(lambda p: ix.without_terms(ix.add_terms(p, more), gone)).match("docs", "added OR from").select("doc_id")
 
 
 QUERIES["terms_added_and_deleted"] = terms_added_and_deleted
@@ -156,7 +155,7 @@ def score_stored_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores from a stored table of term counts."""
     e = r.engine(spark, sf_dir, "text")
     path = shared.new_path(spark, "stats")
-    ix.save_stats(ix.term_stats(e.postings), path)
+    ix.save_stats(e.term_stats(), path)
     return replace(e, stats=spark.read.parquet(path)).match("docs", "from OR tion OR que", scored=True).select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -211,7 +210,7 @@ _LETTERS = sc.parse("pages", {"default_field": "url", "analyzer": "letters"}, [{
 
 def custom_analyzer(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = ix.from_columns(r.table(spark, sf_dir, "pages"), "pages", "page_id", {"url": "url"})
-    return Engine(ix.postings(d, _LETTERS, ["url"]), {"pages": _LETTERS}, d).match("pages", "ORG AND NOT https").select("doc_id")
+    return Engine.over(d, _LETTERS, ["url"]).match("pages", "ORG AND NOT https").select("doc_id")
 
 
 QUERIES["custom_analyzer"] = custom_analyzer
