@@ -85,6 +85,7 @@ PASSES = {
     "score_phrase": 1,
     "response_xml": 1,
     "delete_by_query": 2,
+    "score_and_not": 1,
 }
 
 
