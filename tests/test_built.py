@@ -86,6 +86,7 @@ PASSES = {
     "response_xml": 1,
     "delete_by_query": 2,
     "score_and_not": 1,
+    "topk_page": 1,
 }
 
 
