@@ -87,6 +87,7 @@ PASSES = {
     "delete_by_query": 2,
     "score_and_not": 1,
     "topk_page": 1,
+    "page_sort": 1,
 }
 
 
