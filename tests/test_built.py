@@ -88,6 +88,7 @@ PASSES = {
     "score_and_not": 1,
     "topk_page": 1,
     "page_sort": 1,
+    "score_term": 1,
 }
 
 
