@@ -89,6 +89,7 @@ PASSES = {
     "topk_page": 1,
     "page_sort": 1,
     "score_term": 1,
+    "response_json": 1,
 }
 
 
