@@ -90,6 +90,7 @@ PASSES = {
     "page_sort": 1,
     "score_term": 1,
     "response_json": 1,
+    "group_default_or": 1,
 }
 
 
