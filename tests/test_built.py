@@ -91,6 +91,7 @@ PASSES = {
     "score_term": 1,
     "response_json": 1,
     "group_default_or": 1,
+    "coord_range": 1,
 }
 
 
